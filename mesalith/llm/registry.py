@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from mesalith.llm import bpe, exact_dedup, line_dedup, packing, quality, secrets, toxicity, url_filter
+from mesalith.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, quality, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
     "op2_quality": quality.op2,
     "op3_secret_scan": secrets.op3,
     "op4_exact_dedup": exact_dedup.op4,
+    "op5_near_dedup": near_dedup.op5,
     "op6_toxicity": toxicity.op6,
     "op7_packing": packing.op7,
     "op8_bpe": bpe.op8,
