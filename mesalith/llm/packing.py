@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +36,40 @@ def default_tokenizer() -> str:
 
 @functools.cache
 def _tokenizer(path: str):
+    """The tokenizer, its special tokens, an equal and faster encoder of single units or None, and the units that this worker knows."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
     special = tuple(t.content for t in made.get_added_tokens_decoder().values())
-    return made, special
+    return made, special, _by_ranks(path, special), {}
+
+
+def _by_ranks(path: str, special: tuple[str, ...]):
+    """Where the merges stand in the order of their ids, ranks alone give the tokenizer's ids; else None."""
+    try:
+        import public_tokenizers
+        import tiktoken
+    except ImportError:
+        return None
+    with open(path) as f:
+        model = json.load(f)["model"]
+    vocab = {k: v for k, v in model["vocab"].items() if k not in special}
+    merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if None in merged or any(a >= b for a, b in zip(merged, merged[1:], strict=False)) or len(vocab) != 256 + len(merged):
+        return None
+    # the printable stand-ins of bytes: bytes that print stand for themselves, the others follow from 256 on in order
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    byte_of = {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in prints)}
+    ranks = {bytes(byte_of[c] for c in k): v for k, v in vocab.items()}
+    return tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 class Encoder:
     """Ids of whole texts by the tokenizer; units of text that were seen are not encoded again."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.special = _tokenizer(path)
-        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.special, self.by_ranks, self.known = _tokenizer(path)
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
@@ -60,8 +82,9 @@ class Encoder:
             if len(known) + len(new) > UNITS_KEPT:
                 known.clear()
                 new = list(dict.fromkeys(units))
-            for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[u] = np.array(e.ids, "<u4").tobytes()
+            made = map(self.by_ranks, new) if self.by_ranks else (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))
+            for u, ids in zip(new, made, strict=True):
+                known[u] = array("I", ids).tobytes()
         return np.frombuffer(b"".join(map(known.__getitem__, units)), "<u4")
 
 
