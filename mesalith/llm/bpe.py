@@ -13,9 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A block of documents is closed at so many pre-tokens; it is the unit in which positions are counted and put together again.
-BLOCK_TOKENS = 1 << 20
-#: Distinct words that an encoding task remembers before it forgets them all.
-WORDS_KEPT = 400_000
+BLOCK_TOKENS = 1 << 22
 
 
 def default_ranks() -> str:
@@ -71,8 +69,8 @@ def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def unvarints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The integers of LEB128 bytes, and where each one ends (exclusive)."""
+def unvarints(data: np.ndarray) -> np.ndarray:
+    """The integers of LEB128 bytes."""
     last = data < 128
     ends = np.flatnonzero(last) + 1
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
@@ -83,21 +81,7 @@ def unvarints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not at.any():
             break
         out[at] |= (data[starts[at] + k].astype(np.int64) & 127) << (7 * k)
-    return out, ends
-
-
-def _binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-
-
-def _bytes_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column without nulls, and the length of each value."""
-    col = col.cast(pa.large_binary())
-    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset: col.offset + len(col) + 1]
-    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[offsets[0]: offsets[-1]]
-    return data, np.diff(offsets)
+    return out
 
 
 class _Words(dict):
@@ -106,22 +90,46 @@ class _Words(dict):
         return n
 
 
-def _blocks(pattern: str, most: int):
-    """Rows (word, block, places): a distinct word of a block and the gaps between its positions there. The row with word null has the block's documents: (id or null, pre-tokens)."""
+def _squeeze(*parts: bytes) -> list[bytes]:
+    import zstandard
+
+    return [zstandard.ZstdCompressor(level=3).compress(p) for p in parts]
+
+
+def _expand(part: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(part)
+
+
+_BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+
+
+def _blocks(pattern: str, most: int, buckets: int):
+    """Rows (bucket, block, words, counts, places): the distinct words of a block that fall in a hash bucket, how often each occurs, and the gaps between its positions in the block. Bucket -1 has the block's documents: (id, whether it is null, pre-tokens)."""
 
     def close(block, words, codes, docs):
-        codes = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        order = np.argsort(codes, kind="stable")
-        per = np.bincount(codes, minlength=len(words))
-        firsts = np.cumsum(per) - per
-        gaps = np.diff(order, prepend=0)
-        gaps[firsts] = order[firsts]
-        data, n = varints(gaps)
-        sizes = np.add.reduceat(n, firsts) if len(words) else np.zeros(0, np.int64)
-        header = np.array([x for d in docs for x in d], np.int64).tobytes()
-        spelt = pa.array([*words, None], pa.string())
-        places = pa.concat_arrays([_binary(data, sizes), pa.array([header], pa.binary())])
-        return pa.RecordBatch.from_arrays([spelt, pa.array(np.full(len(spelt), block)), places], names=["word", "block", "places"])
+        import zlib
+
+        names = list(words)
+        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in names), np.int32, len(names))
+        by_bucket = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(names), np.int32)
+        rank[by_bucket] = np.arange(len(names), dtype=np.int32)
+        codes = rank[np.concatenate(codes)] if names else np.zeros(0, np.int32)
+        order = np.argsort(codes, kind="stable").astype(np.int32)
+        per = np.bincount(codes, minlength=len(names))
+        ends = np.cumsum(per)
+        gaps = np.diff(order, prepend=np.int32(0))
+        gaps[ends - per] = order[ends - per]
+        firsts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+        rows = [(-1, block, b"", b"", _squeeze(np.array([x for d in docs for x in d], np.int64).tobytes())[0])]
+        for k in range(buckets):
+            a, b = firsts[k], firsts[k + 1]
+            if a < b:
+                own = gaps[ends[a - 1] if a else 0: ends[b - 1]]
+                rows.append((k, block, *_squeeze("\n".join(names[i].replace("\\", "\\\\").replace("\n", "\\n") for i in by_bucket[a:b]).encode(), varints(per[a:b])[0].tobytes(), varints(own)[0].tobytes())))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _BLOCK.types, strict=True)], schema=_BLOCK)
 
     def run(batches):
         import regex
@@ -133,7 +141,7 @@ def _blocks(pattern: str, most: int):
         for b in batches:
             for ident, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 found = find(text.as_py() or "")
-                codes.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+                codes.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
                 docs.append((0 if ident is None else ident, ident is None, len(found)))
                 n += len(found) + 1
                 if n >= most:
@@ -145,22 +153,42 @@ def _blocks(pattern: str, most: int):
     return run
 
 
+_ESCAPED = {"\\\\": "\\", "\\n": "\n"}
+
+
+def _spelt(part: bytes) -> list[str]:
+    import re
+
+    words = _expand(part).decode().split("\n")
+    return [re.sub(r"\\\\|\\n", lambda m: _ESCAPED[m[0]], w) if "\\" in w else w for w in words]
+
+
+_CODED = pa.schema([("block", pa.int64()), ("header", pa.bool_()), ("lengths", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+
+
 def _encode(path: str, pattern: str):
-    """Rows (block, places, ids): each distinct word is encoded once in the one task that has all of its rows."""
+    """Rows (block, lengths, ids, counts, places). All rows of a bucket come one after another in one task, so each distinct word is encoded once."""
 
     def run(batches):
         encode = _encoding(path, pattern).encode_ordinary
-        known: dict[str, bytes] = {}
-        for b in batches:
-            out = []
-            for w in b.column(0).to_pylist():
-                ids = b"" if w is None else known.get(w)
-                if ids is None:
-                    if len(known) >= WORDS_KEPT:
-                        known.clear()
-                    ids = known[w] = np.array(encode(w), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out, pa.binary()), pa.array([w is None for w in b.column(0).to_pylist()])], names=["block", "places", "ids", "header"])
+        known, of = {}, None
+        for batch in batches:
+            rows = []
+            for bucket, block, words, counts, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket < 0:
+                    rows.append((block, True, b"", b"", counts, places))
+                    continue
+                if bucket != of:
+                    known, of = {}, bucket
+                names = _spelt(words)
+                for w in names:
+                    if w not in known:
+                        ids = encode(w)
+                        known[w] = (len(ids), np.array(ids, "<u4").tobytes())
+                found = [known[w] for w in names]
+                ids = np.frombuffer(b"".join([x for _, x in found]), "<u4")
+                rows.append((block, False, *_squeeze(varints(np.array([n for n, _ in found]))[0].tobytes(), varints(ids)[0].tobytes()), counts, places))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _CODED.types, strict=True)], schema=_CODED)
 
     return run
 
@@ -169,30 +197,29 @@ def _together(path: str, with_ids: bool):
     """Put a block's ids in their places; per document: ids, their digest, and the digest of the decoded bytes."""
 
     def run(table: pa.Table) -> pa.Table:
-        head = np.frombuffer(b"".join(table.filter(table["header"])["places"].to_pylist()), np.int64).reshape(-1, 3)
-        rows = table.filter(pa.compute.invert(table["header"])).combine_chunks()
-        pick = lambda name: rows[name].combine_chunks() if rows.num_rows else pa.array([], pa.binary())
-        places, sizes = _bytes_of(pick("places"))
-        gaps, ends = unvarints(places)
-        per = np.searchsorted(ends, np.cumsum(sizes), side="right") if len(sizes) else sizes
-        per = np.diff(per, prepend=0)
-        row = np.repeat(np.arange(len(per)), per)
-        at = np.cumsum(gaps)
+        rows = table.select(["header", "lengths", "ids", "counts", "places"]).to_pylist()
+        head = np.frombuffer(b"".join(_expand(r["places"]) for r in rows if r["header"]), np.int64).reshape(-1, 3)
+        rows = [r for r in rows if not r["header"]]
+        whole = lambda name: np.concatenate([np.zeros(0, np.int64), *(unvarints(np.frombuffer(_expand(r[name]), np.uint8)) for r in rows)])
+        lengths, data, per, gaps = whole("lengths"), whole("ids").astype("<u4"), whole("counts"), whole("places")
         first = np.cumsum(per) - per
-        at -= np.repeat(at[first] - gaps[first], per) if len(per) else 0
-        word_at = np.empty(len(at), np.int64)
-        word_at[at] = row
-        data, lengths = _bytes_of(pick("ids"))
-        lengths = lengths // 4
+        at = np.cumsum(gaps)
+        if len(per):
+            at -= np.repeat(at[first] - gaps[first], per)
+        word_at = np.empty(len(at), np.int32)
+        word_at[at] = np.repeat(np.arange(len(per), dtype=np.int32), per)
+        del gaps, at
         starts = np.cumsum(lengths) - lengths
         n = lengths[word_at]
         stop = np.cumsum(n)
-        index = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(starts[word_at] - (stop - n), n)
-        ids = data.view("<u4")[index] if len(data) else np.zeros(0, "<u4")
-        table_of, out = token_bytes(path), []
         bounds = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(head[:, 2])])]
+        tokens = np.concatenate([[0], np.cumsum(head[:, 2])])
+        table_of, out = token_bytes(path), []
         for k, (ident, null, _) in enumerate(head.tolist()):
-            own = ids[bounds[k]: bounds[k + 1]]
+            a, b = tokens[k], tokens[k + 1]
+            own_n = n[a:b]
+            index = np.arange(bounds[k + 1] - bounds[k]) + np.repeat(starts[word_at[a:b]] - (np.cumsum(own_n) - own_n), own_n)
+            own = data[index]
             decoded = b"".join(map(table_of.__getitem__, own.tolist()))
             out.append((None if null else ident, len(own), hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()) + ((own.astype(np.int32), decoded) if with_ids else ()))
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32()), pa.binary()] if with_ids else [])]
@@ -209,17 +236,19 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null counts as the empty text (no ids). Rows may repeat and ids may be null; each row gives one row. Other columns
     are not read. ranks: path of a rank file, the same on all executors; pattern: the pre-token pattern.
 
-    A task cuts its documents into blocks; a distinct word of a block is one row with all its positions there, so the
-    most frequent word sends one row a block. Rows are dealt by word, each distinct word is encoded in one task, and
-    its ids travel with the positions back to the block, where they are put in place. Block numbers come from the
-    partition and a counter, so a task that runs again makes the same blocks.
+    A task cuts its documents into blocks; a distinct word of a block is one entry with all its positions there, so
+    the most frequent word sends one entry a block. Entries are dealt by a hash of the word (packed by bucket, four
+    buckets a shuffle partition); each distinct word is encoded in one task, and its ids travel with the positions
+    back to the block, where they are put in place. Decoding looks ids up in the token-byte table. Block numbers come
+    from the partition and a counter, so a task that runs again makes the same blocks.
     """
     path, pattern = ranks or default_ranks(), pattern or default_pattern()
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if with_ids else "")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    words = rows.mapInArrow(_blocks(pattern, block_tokens), "word string, block long, places binary")
-    dealt = words.repartition(F.coalesce("word", F.col("block").cast("string")))
-    coded = dealt.mapInArrow(_encode(path, pattern), "block long, places binary, ids binary, header boolean")
+    words = rows.mapInArrow(_blocks(pattern, block_tokens, buckets), "bucket int, block long, words binary, counts binary, places binary")
+    dealt = words.repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.col("block"))).sortWithinPartitions("bucket")
+    coded = dealt.mapInArrow(_encode(path, pattern), "block long, header boolean, lengths binary, ids binary, counts binary, places binary")
     return coded.groupBy("block").applyInArrow(_together(path, with_ids), kind).withColumnRenamed("id", id_col)
 
 
