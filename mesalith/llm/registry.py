@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mesalith.llm import bpe, exact_dedup, line_dedup, near_dedup, packing, quality, secrets, toxicity, url_filter
+from mesalith.llm import bpe, embedding_dedup, exact_dedup, line_dedup, near_dedup, packing, quality, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1,
@@ -13,10 +13,12 @@ QUERIES = {
     "op6_toxicity": toxicity.op6,
     "op7_packing": packing.op7,
     "op8_bpe": bpe.op8,
+    "op9_embedding_dedup": embedding_dedup.op9,
     "op10_url_filter": url_filter.op10,
 }
 
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op9_embedding_dedup": embedding_dedup.op9,
     "op10_url_filter": url_filter.ORACLE,
 }

@@ -273,5 +273,26 @@ def score_toxicity(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col
     return rows.mapInArrow(run, "id long, held_out boolean, score double, predicted int, toxic_spans string, n_spans int").withColumnRenamed("id", id_col)
 
 
+def drop_toxic(docs: DataFrame, model: Crf, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The documents (all columns) that score below the threshold; row by row, so ids don't matter. No shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.trans, model.start, model.calibration))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        own = Crf()
+        own.weights, own.trans, own.start, own.calibration = sent.value
+        known: dict[str, float] = {}
+        for b in batches:
+            rows = []
+            for t in b.column(at).to_pylist():
+                words = WORD.findall(t or "")
+                if len(known) > WORDS_KEPT:
+                    known.clear()
+                rows.append(np.array([known[w] if w in known else known.setdefault(w, own.emission(w)) for w in words], float))
+            yield b.filter(pa.array([own.score(p) < threshold for p in own.tag(rows)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6(spark, sf_dir):
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
