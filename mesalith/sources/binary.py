@@ -90,6 +90,7 @@ def encode_tiles(vertices: DataFrame, faces: DataFrame, heads: DataFrame) -> Dat
         data = encode_tile(v[["x", "y", "z"]].to_numpy(float), index, (*centre, h["min_z"], h["max_z"], *centre, h["radius"], *centre))
         return pd.DataFrame([(*key, "terrain", data, len(v), len(f), h["min_z"], h["max_z"])], columns=[*keys, "ext", "payload", "n_vertices", "n_faces", "min_z", "max_z"])
 
+    heads = heads.select(*(F.col(c).alias(c) for c in heads.columns))  # both sides may come from one plan
     schema = "zoom int, tx int, ty int, ext string, payload binary, n_vertices long, n_faces long, min_z double, max_z double"
     return rows.groupBy(*keys).cogroup(heads.groupBy(*keys)).applyInPandas(run, schema)
 
