@@ -164,34 +164,42 @@ def abc(spark, sf):
 
 ABC = f"{mesh_sql(3)}, u AS (SELECT tid, " + ", ".join(f'round(("{c}x" + 13636677.018e0) / 3.91694e0 * 2) AS "{c}x", round(("{c}y" - 4543905.659e0) / 3.91694e0 * 2) AS "{c}y", "{c}z" AS "{c}z"' for c in "abc") + " FROM tri)"
 UBOX = 'least(ax, bx, cx) AS x0, least(ay, "by", cy) AS y0, greatest(ax, bx, cx) AS x1, greatest(ay, "by", cy) AS y1'
-A, B, C = (F.col(c) for c in mesh.CORNERS)
+
+
+def corners():
+    return (F.col(c) for c in mesh.CORNERS)
 
 
 @query("bbox_intersects", f"WITH {ABC} SELECT tid, x0 <= 60 AND 20 <= x1 AND y0 <= 90 AND 30 <= y1 AS meets FROM (SELECT tid, {UBOX} FROM u)")
 def _(spark, sf):
+    A, B, C = corners()
     return abc(spark, sf).select("tid", geom.boxes_meet(geom.bbox(A, B, C), tuple(map(F.lit, (20.0, 30.0, 60.0, 90.0)))).alias("meets"))
 
 
 @query("bbox_contains", f"WITH {ABC} SELECT tid, ax BETWEEN 20 AND 60 AND ay BETWEEN 30 AND 90 AS inside, ax BETWEEN 20 AND 60 AND ay BETWEEN 30 AND 90 AND az BETWEEN 0 AND 50 AS inside_3d FROM u")
 def _(spark, sf):
+    A, B, C = corners()
     box = tuple(map(F.lit, (20.0, 30.0, 60.0, 90.0)))
     return abc(spark, sf).select("tid", geom.box_contains(box, A).alias("inside"), geom.box_contains(tuple(map(F.lit, (20.0, 30.0, 0.0, 60.0, 90.0, 50.0))), A, True).alias("inside_3d"))
 
 
 @query("bbox_border", f"WITH {ABC} SELECT tid, (cx IN (x0, x1) OR cy IN (y0, y1)) AND cx BETWEEN x0 AND x1 AND cy BETWEEN y0 AND y1 AS on_border, x1 - x0 = 6 AND y1 - y0 = 6 AS usual FROM (SELECT *, {UBOX} FROM u)")
 def _(spark, sf):
+    A, B, C = corners()
     box = geom.bbox(A, B, C)
     return abc(spark, sf).select("tid", geom.on_border(box, C).alias("on_border"), geom.boxes_equal(box, (box[0], box[1], box[0] + 6, box[1] + 6)).alias("usual"))
 
 
 @query("segment_intersection", f'WITH {ABC}, d AS (SELECT *, (bx - ax) * 1e0 - ("by" - ay) * 2e0 AS d FROM u) SELECT tid, CASE WHEN d <> 0 THEN round(((50e0 - ax) * 1 - (40e0 - ay) * 2) / d, 6) + 0e0 END AS t FROM d')
 def _(spark, sf):
+    A, B, C = corners()
     t, _ = geom.segment_on_line(A, B, (50.0, 40.0), (2.0, 1.0))
     return abc(spark, sf).select("tid", (F.round(t, 6) + 0.0).alias("t"))
 
 
 @query("segment_clip_z", f"WITH {ABC}, d AS (SELECT *, (CASE WHEN ax <> cx THEN (50e0 - ax) / (cx - ax) END) AS t FROM u) SELECT tid, round(az + t * (cz - az), 5) AS z FROM d WHERE t BETWEEN 0 AND 1")
 def _(spark, sf):
+    A, B, C = corners()
     line = ((50.0, 0.0), (0.0, 1.0))
     _, on = geom.segment_on_line(A, C, *line)
     return abc(spark, sf).where(on).select("tid", F.round(geom.clip_point(A, C, *line).z, 5).alias("z"))
@@ -199,17 +207,20 @@ def _(spark, sf):
 
 @query("side_of_line", f"WITH {ABC} SELECT tid, CAST(-sign(2e0 * (ay - 40) - 1e0 * (ax - 50)) AS BIGINT) AS side FROM u")
 def _(spark, sf):
+    A, B, C = corners()
     return abc(spark, sf).select("tid", geom.side_of_line(A, (50.0, 40.0), (2.0, 1.0)).cast("long").alias("side"))
 
 
 @query("segment_compare", f'WITH {ABC} SELECT tid, CAST(sign((pow(ax - bx, 2) + pow(ay - "by", 2)) - (pow(cx - bx, 2) + pow(cy - "by", 2))) AS BIGINT) AS flat, CAST(sign(round((az - bz) * (az - bz) + (ax - bx) * (ax - bx) + (ay - "by") * (ay - "by") - ((cx - bx) * (cx - bx) + (cy - "by") * (cy - "by") + (cz - bz) * (cz - bz)), 6)) AS BIGINT) AS solid FROM u')
 def _(spark, sf):
+    A, B, C = corners()
     solid = F.signum(F.round(geom.squared_length(A, B, True) - geom.squared_length(C, B, True), 6)).cast("long")
     return abc(spark, sf).select("tid", geom.compare_lengths(A, B, C, B, False).cast("long").alias("flat"), solid.alias("solid"))
 
 
 @query("front_facing", f'WITH {ABC}, n AS (SELECT *, (cx - bx) * (ay - "by") - (cy - "by") * (ax - bx) AS n FROM (SELECT tid, bx AS ax, "by" AS ay, ax AS bx, ay AS "by", cx, cy FROM u)) SELECT tid, n >= 0 AS up, CASE WHEN n < 0 THEN bx ELSE ax END AS ax, CASE WHEN n < 0 THEN "by" ELSE ay END AS ay FROM n')
 def _(spark, sf):
+    A, B, C = corners()
     t = abc(spark, sf).select("tid", F.col("b").alias("a"), F.col("a").alias("b"), "c")
     a, _, _ = geom.front_facing(A, B, C)
     return t.select("tid", geom.facing_up(A, B, C).alias("up"), a.x.alias("ax"), a.y.alias("ay"))
@@ -231,17 +242,20 @@ def _(spark, sf):
 
 @query("barycentric", f'WITH {ABC}, w AS (SELECT *, (("by" - cy) * (x - cx) + (cx - bx) * (y - cy)) / d AS w0, ((cy - ay) * (x - cx) + (ax - cx) * (y - cy)) / d AS w1, ((ay - "by") * (x - bx) + (bx - ax) * (y - "by")) / d AS w2 FROM (SELECT *, ax - 2e0 AS x, ay + 1e0 AS y, ("by" - cy) * (ax - cx) + (cx - bx) * (ay - cy) AS d FROM u) WHERE d <> 0) SELECT tid, CASE WHEN w0 BETWEEN 0 AND 1 AND w1 BETWEEN 0 AND 1 AND w2 BETWEEN 0 AND 1 THEN round(w0 * az + w1 * bz + w2 * cz, 5) END AS z FROM w')
 def _(spark, sf):
+    A, B, C = corners()
     return abc(spark, sf).select("tid", F.round(geom.interpolate(A, B, C, A.x - 2, A.y + 1), 5).alias("z"))
 
 
 @query("plane_fit", f'WITH {ABC}, w AS (SELECT *, (bx - ax) * (cy - ay) - ("by" - ay) * (cx - ax) AS d FROM u), q AS (SELECT *, ((bz - az) * (cy - ay) - (cz - az) * ("by" - ay)) / d AS p, ((bx - ax) * (cz - az) - (cx - ax) * (bz - az)) / d AS q FROM w) SELECT tid, round(p, 5) + 0e0 AS p, round(q, 5) + 0e0 AS q, round(az - p * ax - q * ay, 4) + 0e0 AS r FROM q')
 def _(spark, sf):
+    A, B, C = corners()
     p, q, r = geom.plane(A, B, C)
     return abc(spark, sf).select("tid", (F.round(p, 5) + 0.0).alias("p"), (F.round(q, 5) + 0.0).alias("q"), (F.round(r, 4) + 0.0).alias("r"))
 
 
 @query("orientation", f'WITH {ABC} SELECT tid, CAST(sign((bx - ax) * (cy - ay) - ("by" - ay) * (cx - ax)) AS BIGINT) AS turn, pow(ax + 2 - (ax + cx) / 2, 2) + pow(ay - (ay + cy) / 2, 2) < (pow(ax - cx, 2) + pow(ay - cy, 2)) / 4 AS in_circle FROM u WHERE tid % 2 = 1 AND FALSE UNION ALL SELECT tid, CAST(sign((bx - ax) * (cy - ay) - ("by" - ay) * (cx - ax)) AS BIGINT), false FROM u')
 def _(spark, sf):
+    A, B, C = corners()
     # the first corner lies on the circle through all three, not in it
     return abc(spark, sf).select("tid", geom.orientation(A, B, C).cast("long").alias("turn"), geom.in_circle(A, B, C, A).alias("in_circle"))
 
