@@ -18,13 +18,13 @@ BASE, RATE = 1.2, 20.0
 SLACK = 0.16
 #: Members of a bucket that are compared with each other at once; larger buckets are split by a hash that differs from band to band.
 BUCKET = 4096
-#: Ranks, by estimate, of the partners that a document is compared with in each round after the first.
-RANKS = ((0, 16), (16, 80), (80, 400))
+#: Documents, and shingles, of a group that are held against each other at once; larger groups are dealt over blocks.
+BLOCK, BLOCK_ITEMS = 4096, 4_000_000
 WORDS_KEPT = 400_000
 
 _rng = np.random.default_rng(20)
-_XOR = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
-_MUL = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
+_MUL = _rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,11 +61,13 @@ class Shingler:
 
 def registers(hashes: np.ndarray) -> np.ndarray:
     """SetSketch registers of a set; those of a union are the larger ones, register by register."""
-    low = np.full(REGISTERS, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(low, ((hashes[at: at + 1024, None] ^ _XOR) * _MUL).min(0), out=low)
-    least = -np.log1p(-(low.astype(float) + 0.5) / 2.0**64 * (1 - 1e-16))
-    return np.clip(np.floor(1 + (np.log(RATE) - np.log(np.maximum(least, 1e-300))) / np.log(BASE)), 0, 255).astype(np.uint8)
+    low, short = np.full(REGISTERS, np.iinfo(np.uint32).max), hashes.astype(np.uint32)
+    for at in range(0, len(short), 512):
+        part = short[at: at + 512, None] ^ _XOR
+        part *= _MUL
+        np.minimum(low, part.min(0), out=low)
+    least = -np.log1p(-(low.astype(float) + 0.5) / 2.0**32)
+    return np.clip(np.floor(1 + (np.log(RATE) - np.log(least)) / np.log(BASE)), 0, 255).astype(np.uint8)
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
@@ -114,11 +116,12 @@ def _sets(k: int):
         shingle = Shingler(k)
         for b in batches:
             rows = []
-            for node, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for i, (node, text) in enumerate(zip(b.column(1).to_pylist(), b.column(2), strict=True)):
                 s = shingle(text.as_py()).tobytes()
                 if xxhash.xxh3_128_digest(s) == node:
-                    rows.append((node, s))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()) for c in (list(zip(*rows, strict=True)) or [[]] * 2)], names=["node", "items"])
+                    rows.append((i, s))
+            at = pa.array([i for i, _ in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([s for _, s in rows], pa.binary()), *(b.column(c).take(at) for c in (3, 4, 5))], names=["num", "items", "component", "block", "blocks"])
 
     return run
 
@@ -138,38 +141,68 @@ def _likely(percent: int):
     return run
 
 
-def _partners(percent: int, ranks: tuple[int, int]):
-    """Pairs (a, b) of one bucket that belong to different components: for each document outside the largest component, its partners of the given ranks by equal registers."""
+def _partners(percent: int):
+    """Pairs (a, b) of one bucket that are not grouped yet: each document outside the largest group, with the one of another group whose registers agree most."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, comp = table["node"].to_pylist(), table["comp"].to_pylist()
-        n = np.array(table["n"].to_pylist(), float)
+        node, comp = table["num"].to_numpy(), table["comp"].to_numpy()
+        n = table["n"].to_numpy().astype(float)
         regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
-        _, comp = np.unique(np.array([c.hex() for c in comp]), return_inverse=True)
-        largest, pairs = np.bincount(comp).argmax(), []
-        for i in np.flatnonzero(comp != largest):
-            equal = (regs == regs[i]).sum(1)
-            fit = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
-            order = np.argsort(-np.where(fit, equal, -1), kind="stable")[ranks[0]: ranks[1]]
-            order = order[fit[order] & (comp[order] != comp[i])]
-            if len(order):
-                est = estimate((regs[i] > regs[order]).sum(1), (regs[i] < regs[order]).sum(1), np.full(len(order), n[i]), n[order])
-                pairs += [(min(node[i], node[j]), max(node[i], node[j])) for j in order[est >= percent / 100 - SLACK]]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+        _, comp = np.unique(comp, return_inverse=True)
+        rest, best = np.flatnonzero(comp != np.bincount(comp).argmax()), []
+        for i in rest:
+            fit = (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (comp != comp[i])
+            best.append(int(np.where(fit, (regs == regs[i]).sum(1), -1).argmax()) if fit.any() else int(i))
+        best = np.array(best, np.int64)
+        rest, best = rest[best != rest], best[best != rest]
+        if len(rest):
+            ok = estimate((regs[rest] > regs[best]).sum(1), (regs[rest] < regs[best]).sum(1), n[rest], n[best]) >= percent / 100 - SLACK
+            rest, best = rest[ok], best[ok]
+        return pa.table({"a": pa.array(node[rest]), "b": pa.array(node[best])})
 
     return run
 
 
+def exact_links(sets: list[np.ndarray], percent: int, ask: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join all documents (of those asked for) that are connected, counted on full sets through an inverted index.
+
+    A document is held against all others at once; those that already are in the largest component needn't be, as
+    every other document is asked in its turn. Gives at most one link for each component that a document joins.
+    """
+    sizes = np.array([len(x) for x in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    doc = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    order = np.argsort(code, kind="stable")
+    posting, first = doc[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+    comp, links = np.arange(len(sets)), []
+    # the document with the most common shingles first: it joins the most
+    common = np.add.reduceat((first[code + 1] - first[code]) / 1.0, ends - sizes) / sizes
+    turn = [int(common.argmax()), *np.flatnonzero(ask).tolist()]
+    for k, i in enumerate(turn):
+        if k and comp[i] == np.bincount(comp).argmax():
+            continue
+        own = code[ends[i] - sizes[i]: ends[i]]
+        starts, n = first[own], first[own + 1] - first[own]
+        at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(posting[at], minlength=len(sets))
+        linked = np.flatnonzero((100 * both >= percent * (sizes + sizes[i] - both)) & (comp != comp[i]))
+        for c in np.unique(comp[linked]):
+            links.append((i, int(linked[comp[linked] == c][0])))
+            comp[comp == c] = comp[i]
+    return links
+
+
 def _confirm(percent: int):
-    def run(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    """Links (a, b) within a block of a group; `ask` marks the documents that are held against the others."""
+
+    def run(table: pa.Table) -> pa.Table:
+        num = table["num"].to_numpy()
+        order = np.argsort(num, kind="stable")
+        sets = [np.frombuffer(table["items"][int(i)].as_py(), np.uint64) for i in order]
+        found = exact_links(sets, percent, table["ask"].to_numpy(zero_copy_only=False)[order]) if len(sets) > 1 else []
+        num = num[order]
+        return pa.table({"a": pa.array([num[i] for i, _ in found], pa.int64()), "b": pa.array([num[j] for _, j in found], pa.int64())})
 
     return run
 
@@ -185,42 +218,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read.
 
     Equal sets are one node from the start (partial aggregation by digest). Nodes that share a band key are candidates:
-    each is first compared with its bucket's first node, so a bucket of s nodes gives s - 1 pairs. Buckets that still
-    hold several components are gone through again: the nodes outside the largest component are compared with the
-    partners that most of their registers agree with, in rounds of falling rank, as long as a round finds links.
-    Candidates come from hashing: at the threshold about 3 pairs in 1,000,000 share no band key.
+    each is compared with its bucket's first node, and where a bucket is not one group by then, with the node of
+    another group that most of its registers agree with; so a bucket of s nodes gives less than 2 s pairs. Pairs whose
+    estimate allows the threshold make groups, and within a group links are counted on full sets, each document
+    against all. A group of more than BLOCK documents is dealt over blocks by a hash; documents that are not in its
+    largest component then visit all blocks. Candidates come from hashing: at the threshold about 3 pairs in 1,000,000
+    share no band key.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = written(rows.mapInArrow(_signatures(shingle), "id long, n long, node binary, regs binary, keys array<long>"))
-    nodes = written(sig.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys")))
-    banded = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = written(banded.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("size")).where("size > 1"))
-    pairs = banded.join(buckets, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
-    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "regs_a", "n_b", "regs_b").mapInArrow(_likely(percent), "a binary, b binary"))
-    # members of a bucket that may have a partner; only their full sets are looked at again
-    shared = banded.join(buckets.select("key"), "key", "left_semi").select("node").distinct()
-    texts = shared.join(sig.where("node is not null").groupBy("node").agg(F.min("id").alias("id")), "node").select("node", "id")
-    items = written(rows.join(texts, "id").select("node", "text").mapInArrow(_sets(shingle), "node binary, items binary").dropDuplicates(["node"]))
-
-    def confirmed(pairs):
-        return written(pairs.join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b").join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-                       .select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary"))
-
-    links = confirmed(likely)
+    # the written numbers of the nodes are what everything after goes by
+    nodes = written(sig.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
+                    .withColumn("num", F.monotonically_increasing_id()))
+    banded = nodes.select("num", F.explode("keys").alias("key"))
+    buckets = written(banded.groupBy("key").agg(F.min("num").alias("a"), F.count("*").alias("size")).where("size > 1"))
+    member = written(banded.join(buckets, "key").select("key", "num", "a", "size"))
+    pairs = member.where("num <> a").select("a", F.col("num").alias("b")).distinct()
+    side = lambda c: nodes.select(F.col("num").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
+    likely = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "regs_a", "n_b", "regs_b").mapInArrow(_likely(percent), "a long, b long"))
+    grouped = components(likely)
+    placed = member.join(grouped.select(F.col("node").alias("num"), "component"), "num", "left").select("key", "size", "num", F.coalesce("component", "num").alias("comp"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    salt = F.pmod(F.xxhash64("key", "num"), F.ceil(F.col("size") / BUCKET)).alias("salt")
+    nearest = (placed.join(split, "key", "left_semi").select("key", salt, "num", "comp").join(nodes.select("num", "n", "regs"), "num")
+               .groupBy("key", "salt").applyInArrow(_partners(percent), "a long, b long"))
+    more = written(nearest.distinct())
+    groups = components(likely.unionByName(more)) if not more.isEmpty() else grouped
+    # full sets are looked at again for the members of groups only
+    shared = groups.join(nodes.select(F.col("num").alias("node"), "n", F.col("node").alias("digest"), F.col("least").alias("id")), "node").select(F.col("node").alias("num"), "component", "n", "digest", "id")
+    sizes = shared.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    dealt = shared.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("num"), F.col("blocks")).cast("int"))
+    items = written(rows.join(dealt, "id").select("num", "digest", "text", "component", "block", "blocks").mapInArrow(_sets(shingle), "num long, items binary, component long, block int, blocks int").dropDuplicates(["num"]))
+    links = written(items.withColumn("ask", F.lit(True)).groupBy("component", "block").applyInArrow(_confirm(percent), "a long, b long"))
     joined = components(links)
-    for ranks in RANKS:
-        member = banded.join(buckets.select("key", "size"), "key").join(joined.select("node", "component"), "node", "left").select("key", "size", "node", F.coalesce("component", "node").alias("comp"))
-        split = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        salt = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("size") / BUCKET)).alias("salt")
-        again = (member.join(split, "key", "left_semi").select("key", salt, "node", "comp").join(nodes.select("node", "n", "regs"), "node")
-                 .groupBy("key", "salt").applyInArrow(_partners(percent, ranks), "a binary, b binary").distinct())
-        found = confirmed(again)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
+    large = items.where("blocks > 1").join(joined.select(F.col("node").alias("num"), F.col("component").alias("part")), "num", "left").withColumn("part", F.coalesce("part", "num"))
+    most = large.groupBy("component", "part").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("part", "n").alias("most"))
+    outside = large.join(most, "component").where("part <> most").select("num", "items", "component", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    visits = outside.where("block <> own").select("num", "items", "component", "block", F.lit(True).alias("ask")).unionByName(large.select("num", "items", "component", "block", F.lit(False).alias("ask")))
+    if not large.isEmpty():
+        links = links.unionByName(written(visits.groupBy("component", "block").applyInArrow(_confirm(percent), "a long, b long")))
         joined = components(links)
-    placed = nodes.select("node", "least", "copies").join(joined, "node", "left").select("node", "least", "copies", F.coalesce("component", "node").alias("comp"))
+    placed = nodes.select("num", "node", "least", "copies").join(joined.select(F.col("node").alias("num"), "component"), "num", "left").select("node", "least", "copies", F.coalesce("component", "num").alias("comp"))
     grouped = placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
     named = placed.join(grouped, "comp").select("node", "component_id")
     out = sig.select("id", "n", "node").join(named.withColumn("grouped", F.lit(True)), "node", "left")

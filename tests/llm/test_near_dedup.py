@@ -42,8 +42,9 @@ def brute(rows, k, percent=80):
     return out
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_against_all_pairs(spark, k):
+@pytest.mark.parametrize("k,block", [(2, 4096), (5, 4096), (2, 7)])
+def test_against_all_pairs(spark, monkeypatch, k, block):
+    monkeypatch.setattr(nd, "BLOCK", block)
     rng = random.Random(k)
     base = [[rng.choice("abcdefghijklmnopqrst") * rng.randrange(1, 4) for _ in range(rng.choice([60, 120]))] for _ in range(6)]
     rows = []
