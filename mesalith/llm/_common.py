@@ -32,10 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
+    """Cut the lineage: write df as Parquet in the shared folder and read it back. The files go when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(made)
     return spark.read.schema(df.schema).parquet(path)
 
 
