@@ -58,7 +58,7 @@ def dem2tin(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
-def tile_set(cells: DataFrame, m: Meta, method: str, max_error: float | None, step: int, lowest: int | None, highest: int | None) -> DataFrame:
+def tile_set(cells: DataFrame, m: Meta, method: str, max_error: float | None, step: int, lowest: int | None, highest: int | None, kind: str = "terrain") -> DataFrame:
     """The tiles of all zooms. Each partition of each zoom is meshed on its own, all in one job a zoom; a tile comes from the partition that has it in its range."""
     spark = cells.sparkSession
     levels, metas = raster.pyramid(cells, m, lowest, highest)
@@ -79,14 +79,14 @@ def tile_set(cells: DataFrame, m: Meta, method: str, max_error: float | None, st
             clipped = tiles.clip(tiles.normalise(mine, tiles.z_ranges(mine)))
         tv, tf = tiles.tile_meshes(clipped)
         heads = tiles.header(clipped.groupBy("zoom", "tx", "ty").agg(F.first("min_z").alias("min_z"), F.first("max_z").alias("max_z")))
-        made = binary.encode_tiles(tv, tf, heads)
+        made = binary.obj_tiles(tv, tf, heads) if kind == "obj" else binary.encode_tiles(tv, tf, heads)
         out = made if out is None else out.unionByName(made)
     return out
 
 
 def dem2tintiles(spark: SparkSession, a: argparse.Namespace) -> int:
     cells, m = load(spark, a.input, a.input_format, None if a.input.endswith((".asc", ".xyz")) else 3857)
-    made = tile_set(cells, m, a.method, a.max_error, a.step, a.min_zoom, a.max_zoom)
+    made = tile_set(cells, m, a.method, a.max_error, a.step, a.min_zoom, a.max_zoom, a.output_format)
     if a.tree:
         binary.write_tile_tree(made, a.output_dir)
     else:
@@ -134,6 +134,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--output-format", default="auto")
         else:
             c.add_argument("--output-dir", required=True)
+            c.add_argument("--output-format", default="terrain", choices=["terrain", "obj"])
             c.add_argument("--min-zoom", type=int)
             c.add_argument("--max-zoom", type=int)
             c.add_argument("--tree", action="store_true", help="files zoom/x/y.terrain instead of a table")

@@ -82,7 +82,9 @@ def min_zoom(top: int, width: int, height: int) -> int:
 
 
 def zoom_range(cell: float, width: int, height: int, lowest: int | None = None, highest: int | None = None) -> tuple[int, int]:
-    """Estimated zooms, within what the caller asks for (None: no bound); never reversed."""
+    """Estimated zooms, within what the caller asks for (None: no bound; a reversed range is turned round); never reversed."""
+    if lowest is not None and highest is not None:
+        lowest, highest = min(lowest, highest), max(lowest, highest)
     top = max_zoom(cell)
     low = min_zoom(top, width, height)
     lo = low if lowest is None else min(max(low, lowest), top)

@@ -191,3 +191,14 @@ def _(spark, sf):
     both = want.select(*keys, "order", *(F.col(c).alias(f"w{c}") for c in "xyz")).join(back, [*keys, "order"], "full")
     near = F.every(F.coalesce(F.greatest(*(F.abs(F.col(c) - F.col(f"w{c}")) for c in "xyz")) <= 1.001 / codec.TOP, F.lit(False)))
     return both.agg((F.count_if(F.col("x").isNull() | F.col("wx").isNull()) == 0).alias("faces"), near.alias("near"))
+
+
+@query("tile_obj_counts")
+def _(spark, sf):
+    """Vertex and face lines of each tile's OBJ payload."""
+    t = tiled(spark, sf)
+    ranges = tiles.z_ranges(t)
+    made = binary.obj_tiles(*tiles.tile_meshes(tiles.clip(tiles.normalise(t, ranges))), ranges)
+    lines = F.split(F.col("payload").cast("string"), "\n")
+    count = lambda k: F.size(F.filter(lines, lambda x: F.startswith(x, F.lit(k)))).cast("long")
+    return longs(made.select("tx", "ty", count("v ").alias("n_vertices"), count("f ").alias("n_faces")), "tx", "ty")

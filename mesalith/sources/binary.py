@@ -109,6 +109,17 @@ def decode_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.select("zoom", "tx", "ty", "payload").mapInPandas(run, "zoom int, tx int, ty int, fid long, corner int, x double, y double, z double")
 
 
+def obj_tiles(vertices: DataFrame, faces: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The same catalog with OBJ text as payload: unit-cube coordinates, indices from 1. `ranges` has zoom, tx, ty, min_z, max_z."""
+    keys = ["zoom", "tx", "ty"]
+    v = vertices.select(*keys, F.lit(0).alias("kind"), F.col("vid").alias("id"), F.format_string("v %.18f %.18f %.18f", "x", "y", "z").alias("line"))
+    f = faces.select(*keys, F.lit(1).alias("kind"), F.col("fid").alias("id"), F.format_string("f %d %d %d", *(F.col(f"v{k}") + 1 for k in range(3))).alias("line"))
+    lines = F.array_sort(F.collect_list(F.struct("kind", "id", "line")))  # a tile's lines, as many as its mesh has
+    made = v.unionByName(f).groupBy(*keys).agg(F.concat(F.array_join(F.transform(lines, lambda r: r.line), "\n"), F.lit("\n")).cast("binary").alias("payload"), F.count_if(F.col("kind") == 0).alias("n_vertices"), F.count_if(F.col("kind") == 1).alias("n_faces"))
+    ends = ranges.select(*(F.col(k).alias(k) for k in keys), F.col("min_z").alias("min_z"), F.col("max_z").alias("max_z"))
+    return made.join(ends, keys).select(*keys, F.lit("obj").alias("ext"), "payload", "n_vertices", "n_faces", "min_z", "max_z")
+
+
 def write_tiles(tiles: DataFrame, path: str) -> None:
     """The tile catalog, by zoom."""
     tiles.write.mode("overwrite").partitionBy("zoom").parquet(path)

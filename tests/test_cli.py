@@ -46,6 +46,13 @@ def test_dem2tintiles(spark, tif, tmp_path, method):
     assert len(list((tmp_path / "tree").glob("*/*/*.terrain"))) == got.count()
 
 
+def test_obj_tiles(spark, tif, tmp_path):
+    assert cli.main(["dem2tintiles", "--input", tif, "--output-dir", str(tmp_path / "t"), "--output-format", "obj", "--min-zoom", "13", "--max-zoom", "12"], spark) == 0
+    for r in spark.read.parquet(str(tmp_path / "t")).collect():
+        lines = bytes(r.payload).decode().splitlines()
+        assert (sum(x.startswith("v ") for x in lines), sum(x.startswith("f ") for x in lines)) == (r.n_vertices, r.n_faces) and r.ext == "obj"
+
+
 def test_benchmark_resumes(spark, tif, tmp_path):
     args = ["benchmark", "--input", tif, "--output-dir", str(tmp_path), "--method", "regular", "--parameter", "1", "--parameter", "3"]
     assert cli.main(args, spark) == 0 and cli.main([*args, "--parameter", "4"], spark) == 0
