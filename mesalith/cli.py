@@ -35,7 +35,7 @@ def load(spark: SparkSession, path: str, kind: str = "auto", check_srid: int | N
 def mesh_of(cells: DataFrame, m: Meta, method: str, max_error: float | None, step: int) -> tuple[DataFrame, DataFrame]:
     if method == "dense":
         return dense.dense_mesh(cells, m, step, kernels.ring_fill)
-    v, f = kernels.mesh_groups(cells.withColumn("g", F.lit(0)), m, ("g",), method, max_error)  # one mesh is one group by definition
+    v, f = kernels.mesh_groups(cells.withColumn("g", F.lit(0)), m, ("g",), method, max_error, keep=True)  # one mesh is one group by definition
     return v.drop("g"), f.drop("g")
 
 
@@ -72,7 +72,7 @@ def tile_set(cells: DataFrame, m: Meta, method: str, max_error: float | None, st
         else:
             own = plan.where(F.col("zoom") == zoom)
             parts = tiles.cells_to_partitions(levels.where(F.col("zoom") == zoom), {zoom: zm}, own)
-            v, f = kernels.mesh_groups(parts, zm, ("part_id",), method, zm.cell_size if max_error is None else max_error)
+            v, f = kernels.mesh_groups(parts, zm, ("part_id",), method, zm.cell_size if max_error is None else max_error, keep=True)
             tri = mesh.compose(v, f, ("part_id",))
             spread = tiles.triangles_to_tiles(tri, zoom).join(F.broadcast(own.select("part_id", "tmin_x", "tmin_y", "tmax_x", "tmax_y")), "part_id")  # metadata: a row per meshing unit
             mine = spread.where(F.col("tx").between(F.col("tmin_x"), F.col("tmax_x")) & F.col("ty").between(F.col("tmin_y"), F.col("tmax_y")))

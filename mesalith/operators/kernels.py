@@ -163,6 +163,11 @@ def delaunay(points: np.ndarray) -> np.ndarray:
     return np.array(faces, np.int64).reshape(-1, 3)[area > 1e-12 * max(1.0, float(np.abs(area).max(initial=0)))]
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by group over all shuffle partitions: groups are small in bytes but long in time, so they must not be coalesced into a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 # Nearest valid average ------------------------------------------------------------------------------------------------
 
 
@@ -228,7 +233,7 @@ def ring_fill(cells: DataFrame, m: Meta, chip: int = 512, halo: int = 64, sample
         v = [nearest_average(z, r - r0, c - c0, samples) for r, c in zip(own["row"], own["col"], strict=True)]
         return pd.DataFrame({"row": own["row"], "col": own["col"], "z": v})
 
-    return chips(cells, m, chip, halo).groupBy("chip_row", "chip_col").applyInPandas(run, "row int, col int, z double").withColumn("z", F.when(~F.isnan("z"), F.col("z")))
+    return dealt(chips(cells, m, chip, halo), "chip_row", "chip_col").groupBy("chip_row", "chip_col").applyInPandas(run, "row int, col int, z double").withColumn("z", F.when(~F.isnan("z"), F.col("z")))
 
 
 # Greedy refinement ----------------------------------------------------------------------------------------------------
@@ -358,11 +363,12 @@ def zemlya(z: np.ndarray, max_error: float) -> tuple[np.ndarray, np.ndarray]:
 METHODS = {"terra": terra, "zemlya": zemlya}
 
 
-def mesh_groups(cells: DataFrame, m: Meta, keys: tuple[str, ...], method: str = "terra", max_error: float | None = None) -> tuple[DataFrame, DataFrame]:
+def mesh_groups(cells: DataFrame, m: Meta, keys: tuple[str, ...], method: str = "terra", max_error: float | None = None, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """Mesh each group of cells on its own: vertices (keys, vid, x, y, z) and faces (keys, fid, v0, v1, v2) in world coordinates.
 
     A group must be a chip or partition of bounded size. max_error defaults to the cell size and must not be negative;
     a column max_error in `cells` (one value a group) goes before. Groups of fewer than 2 x 2 cells have no mesh.
+    keep: persist the meshes, as each use of vertices or faces would mesh anew; Spark meshes a lost part again.
     """
     if max_error is not None and max_error < 0:
         raise ValueError("max_error is negative")
@@ -384,7 +390,8 @@ def mesh_groups(cells: DataFrame, m: Meta, keys: tuple[str, ...], method: str =
         return out
 
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "is_face boolean, id long, x double, y double, z double, v0 long, v1 long, v2 long"])
-    both = cells.groupBy(*keys).applyInPandas(run, schema)
+    both = dealt(cells, *keys).groupBy(*keys).applyInPandas(run, schema)
+    both = both.persist() if keep else both
     return both.where("not is_face").select(*keys, F.col("id").alias("vid"), "x", "y", "z"), both.where("is_face").select(*keys, F.col("id").alias("fid"), "v0", "v1", "v2")
 
 
@@ -401,4 +408,4 @@ def triangulate_groups(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
             out[f"v{k}"] = ids[faces[:, k]]
         return out
 
-    return points.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "fid long, v0 long, v1 long, v2 long"]))
+    return dealt(points, *keys).groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "fid long, v0 long, v1 long, v2 long"]))

@@ -79,7 +79,7 @@ def _regular(cells, m, step):
 
 def _kernel(name):
     def run(cells, m, max_error):
-        v, f = kernels.mesh_groups(cells.withColumn("g", F.lit(0)), m, ("g",), name, max_error)
+        v, f = kernels.mesh_groups(cells.withColumn("g", F.lit(0)), m, ("g",), name, max_error, keep=True)
         return v.drop("g"), f.drop("g")
 
     return run

@@ -275,7 +275,7 @@ k AS (SELECT * FROM c WHERE z IS NOT NULL OR ((r = 0 OR r = rh) AND (c = 0 OR c
 SELECT CAST(chip_row AS BIGINT) AS chip_row, CAST(chip_col AS BIGINT) AS chip_col, count(*) AS n_vertices, 2 * count(*) - 2 - count(*) FILTER (r = 0 OR r = rh OR c = 0 OR c = cw) AS n_faces FROM k GROUP BY ALL""")
 def _(spark, sf):
     cells, m = chipped(spark, sf)
-    v, f = kernels.mesh_groups(cells, m, ("chip_row", "chip_col"), "terra", 0.0)
+    v, f = kernels.mesh_groups(cells, m, ("chip_row", "chip_col"), "terra", 0.0, keep=True)
     n = v.groupBy("chip_row", "chip_col").agg(F.count("*").alias("n_vertices")).join(f.groupBy("chip_row", "chip_col").agg(F.count("*").alias("n_faces")), ["chip_row", "chip_col"])
     return longs(n, "chip_row", "chip_col")
 
@@ -283,7 +283,7 @@ def _(spark, sf):
 def bound(spark, sf, method, max_error):
     """Whether the chips' meshes are valid and nearer than max_error to every valid cell, and how many faces they save."""
     cells, m = chipped(spark, sf)
-    v, f = kernels.mesh_groups(cells, m, ("chip_row", "chip_col"), method, max_error)
+    v, f = kernels.mesh_groups(cells, m, ("chip_row", "chip_col"), method, max_error, keep=True)
     key = F.col("chip_row").cast("long") * 1_000_000 + F.col("chip_col")
     big = F.lit(1_000_000)
     v = v.select((key * big + F.col("vid")).alias("vid"), "x", "y", "z", key.alias("g"))
