@@ -51,37 +51,19 @@ def token_bytes(path: str) -> tuple[bytes, ...]:
     return tuple(table)
 
 
-def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """LEB128 bytes of non-negative integers below 2**35, and the byte length of each."""
-    v = values.astype(np.uint64)
-    n = np.ones(len(v), np.int64)
-    for k in (7, 14, 21, 28):
-        n += v >= np.uint64(1 << k)
-    ends = np.cumsum(n)
-    out = np.zeros(int(ends[-1]) if len(v) else 0, np.uint8)
-    starts = ends - n
-    for k in range(5):
-        at = n > k
-        if not at.any():
-            break
-        part = (v[at] >> np.uint64(7 * k)) & np.uint64(127)
-        out[starts[at] + k] = (part | np.where(n[at] > k + 1, np.uint64(128), np.uint64(0))).astype(np.uint8)
-    return out, n
-
-
-def unvarints(data: np.ndarray) -> np.ndarray:
-    """The integers of LEB128 bytes."""
-    last = data < 128
-    ends = np.flatnonzero(last) + 1
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-    n = ends - starts
-    out = np.zeros(len(ends), np.int64)
-    for k in range(5):
-        at = n > k
-        if not at.any():
-            break
-        out[at] |= (data[starts[at] + k].astype(np.int64) & 127) << (7 * k)
-    return out
+def squeeze_ints(values: np.ndarray) -> bytes:
+    """Non-negative integers below 2**32: the four planes of their bytes, each compressed on its own."""
+    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    parts = _squeeze(*(np.ascontiguousarray(p).tobytes() for p in planes))
+    return np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts)
+
+
+def expand_ints(data: bytes) -> np.ndarray:
+    at, planes = 16, []
+    for n in np.frombuffer(data[:16], "<u4").tolist():
+        planes.append(np.frombuffer(_expand(data[at: at + n]), np.uint8))
+        at += n
+    return np.ascontiguousarray(np.stack(planes, 1)).view("<u4")[:, 0].astype(np.int64) if len(planes[0]) else np.zeros(0, np.int64)
 
 
 class _Words(dict):
@@ -128,7 +110,7 @@ def _blocks(pattern: str, most: int, buckets: int):
             a, b = firsts[k], firsts[k + 1]
             if a < b:
                 own = gaps[ends[a - 1] if a else 0: ends[b - 1]]
-                rows.append((k, block, *_squeeze("\n".join(names[i].replace("\\", "\\\\").replace("\n", "\\n") for i in by_bucket[a:b]).encode(), varints(per[a:b])[0].tobytes(), varints(own)[0].tobytes())))
+                rows.append((k, block, *_squeeze("\n".join(names[i].replace("\\", "\\\\").replace("\n", "\\n") for i in by_bucket[a:b]).encode()), squeeze_ints(per[a:b]), squeeze_ints(own)))
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _BLOCK.types, strict=True)], schema=_BLOCK)
 
     def run(batches):
@@ -187,7 +169,7 @@ def _encode(path: str, pattern: str):
                         known[w] = (len(ids), np.array(ids, "<u4").tobytes())
                 found = [known[w] for w in names]
                 ids = np.frombuffer(b"".join([x for _, x in found]), "<u4")
-                rows.append((block, False, *_squeeze(varints(np.array([n for n, _ in found]))[0].tobytes(), varints(ids)[0].tobytes()), counts, places))
+                rows.append((block, False, squeeze_ints(np.array([n for n, _ in found])), squeeze_ints(ids), counts, places))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _CODED.types, strict=True)], schema=_CODED)
 
     return run
@@ -200,7 +182,7 @@ def _together(path: str, with_ids: bool):
         rows = table.select(["header", "lengths", "ids", "counts", "places"]).to_pylist()
         head = np.frombuffer(b"".join(_expand(r["places"]) for r in rows if r["header"]), np.int64).reshape(-1, 3)
         rows = [r for r in rows if not r["header"]]
-        whole = lambda name: np.concatenate([np.zeros(0, np.int64), *(unvarints(np.frombuffer(_expand(r[name]), np.uint8)) for r in rows)])
+        whole = lambda name: np.concatenate([np.zeros(0, np.int64), *(expand_ints(r[name]) for r in rows)])
         lengths, data, per, gaps = whole("lengths"), whole("ids").astype("<u4"), whole("counts"), whole("places")
         first = np.cumsum(per) - per
         at = np.cumsum(gaps)
