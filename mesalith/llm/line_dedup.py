@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,21 +16,60 @@ FUZZY_FROM = 20
 SEGMENTS = 16
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, no, line, h): the non-blank lines, trimmed; th tells texts under one id apart, h is the line's MD5."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    cut = rows.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("no", "raw"))
-    trimmed = cut.select("id", "th", "no", F.regexp_replace("raw", r"^[ \t\r]+|[ \t\r]+$", "").alias("line")).where("line <> ''")
-    return trimmed.withColumn("h", F.unhex(F.md5(F.col("line").cast("binary"))))
+def half_keys(line: str) -> list[int]:
+    """Keys that two lines within one edit share: with m the shorter length, they agree in the first m div 2 or in the other characters."""
+    import xxhash
+
+    out, n = [], len(line)
+    for m in (n, n - 1):
+        a = m // 2
+        out += [xxhash.xxh3_64_intdigest(f"p{m}\x00{line[:a]}") - (1 << 63), xxhash.xxh3_64_intdigest(f"s{m}\x00{line[n - (m - a):]}") - (1 << 63)]
+    return out
+
+
+def _cut(text: str | None):
+    """(number, trimmed line) of the lines that aren't blank."""
+    for no, raw in enumerate(text.split("\n") if text else ()):
+        if line := raw.strip(" \t\r"):
+            yield no, line
 
 
-def _half_keys(length, line):
-    """Keys that two lines within one edit share: with m the shorter length, they agree in the first m div 2 or in the other characters."""
-    keys = []
-    for m in (length, length - 1):
-        a = F.floor(m / 2).cast("int")
-        keys += [F.xxhash64(F.lit("p"), m, F.substring(line, F.lit(1), a)), F.xxhash64(F.lit("s"), m, F.substring(line, length - (m - a) + 1, m - a))]
-    return F.array(*keys)
+def _batches(rows, names, types, most: int = 20_000):
+    """Record batches of at most `most` rows from an iterator of tuples."""
+    rows = iter(rows)
+    while part := list(itertools.islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=names)
+
+
+def _hashed(fuzzy_from: int):
+    """(id, th, no, h, n, k0..k3): each line's 128-bit hash, its length and, if it is long enough, its half keys."""
+    none = [None] * 4
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), *[pa.int64()] * 4]
+    names = ["id", "th", "no", "h", "n", "k0", "k1", "k2", "k3"]
+
+    def run(batches):
+        import xxhash
+
+        def rows(b):
+            for ident, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                for no, line in _cut(text.as_py()):
+                    yield ident, th, no, xxhash.xxh3_128_digest(line), len(line), *(half_keys(line) if len(line) >= fuzzy_from else none)
+
+        for b in batches:
+            yield from _batches(rows(b), names, types)
+
+    return run
+
+
+def _texts(fuzzy_from: int):
+    def run(batches):
+        import xxhash
+
+        for b in batches:
+            lines = (line for text in b.column(0) for _, line in _cut(text.as_py()) if len(line) >= fuzzy_from)
+            yield from _batches(((xxhash.xxh3_128_digest(x), x) for x in lines), ["h", "line"], [pa.binary(), pa.string()], 5000)
+
+    return run
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
@@ -85,19 +126,18 @@ def within_one_edit(a: str, b: str) -> bool:
     return a[i:] == b[i + 1:] if len(a) < len(b) else a[i + 1:] == b[i:]
 
 
-def _near(distinct: DataFrame, lines: DataFrame, fuzzy_from: int) -> DataFrame:
+def _near(distinct: DataFrame, texts: DataFrame, fuzzy_from: int) -> DataFrame:
     """(h) of lines with an earlier line within one edit."""
-    fuzzy = distinct.where(F.col("n_chars") >= fuzzy_from)
     # first search, on hashes only: lines that share half of their text with another one
-    keyed = fuzzy.select(F.col("g"), F.explode("keys").alias("key"))
+    keyed = distinct.where("k0 is not null").select("g", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
     maybe = written(keyed.join(_shared(keyed), "key", "left_semi").select("g").distinct())
-    texts = lines.where(F.length("line") >= fuzzy_from).withColumn("g", F.xxhash64("h")).join(maybe, "g", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-    cand = written(texts.join(distinct.select("h", "first"), "h"))
+    found = texts.withColumn("g", F.xxhash64("h")).join(maybe, "g", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    cand = written(found.join(distinct.join(maybe, "g", "left_semi").select("h", "first"), "h"))
 
     def part_keys(batches):
         for b in batches:
-            rows = [(h, key, m, k) for h, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for key, m, k, _ in segment_keys(line)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, (pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["h", "key", "m", "part"])
+            rows = ((h, key, m, k) for h, line in zip(b.column(0).to_pylist(), b.column(1), strict=True) for key, m, k, _ in segment_keys(line.as_py()))
+            yield from _batches(rows, ["h", "key", "m", "part"], [pa.binary(), pa.int64(), pa.int32(), pa.int32()])
 
     # second search: lines that differ from another one in one part of sixteen only
     parted = cand.select("h", "line").mapInArrow(part_keys, "h binary, key long, m int, part int").withColumn("g", F.xxhash64("h"))
@@ -105,11 +145,9 @@ def _near(distinct: DataFrame, lines: DataFrame, fuzzy_from: int) -> DataFrame:
 
     def emit(batches):
         for b in batches:
-            rows = []
-            for h, first, line, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows += [(h, first, key, kind) for key, kind in variants(line, {(p["m"], p["part"]) for p in parts})]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.binary(), b.schema.field(1).type, pa.binary(), pa.int32()), strict=True)], names=["h", "first", "key", "kind"])
+            found = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True)
+            rows = ((h, first, key, kind) for h, first, line, parts in found for key, kind in variants(line.as_py(), {(p["m"], p["part"]) for p in parts}))
+            yield from _batches(rows, ["h", "first", "key", "kind"], [pa.binary(), b.schema.field(1).type, pa.binary(), pa.int32()])
 
     keys = written(cand.join(where, "h").select("h", "first", "line", "parts").mapInArrow(emit, "h binary, first struct<id:long,th:long,no:int>, key binary, kind int"))
     one = lambda *kinds: keys.where(F.col("kind").isin(*kinds)).groupBy("key").agg(F.min(F.struct("first", "h")).alias("e"), F.count("*").alias("n"))
@@ -145,11 +183,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, fuzzy_from: int) -> DataFrame:
     """(id, th, drops): for each text that loses lines, their numbers and whether each goes for being nearly equal."""
-    lines = _lines(docs, id_col, text_col)
-    n = F.length("line")
-    distinct = written(lines.groupBy("h").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count("*").alias("n"), F.first(n).alias("n_chars"), F.first(F.when(n >= fuzzy_from, _half_keys(n, F.col("line")))).alias("keys"))
-                       .withColumn("g", F.xxhash64("h")))
-    near = written(_near(distinct, lines, fuzzy_from).withColumn("near", F.lit(True)))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    lines = written(rows.mapInArrow(_hashed(fuzzy_from), "id long, th long, no int, h binary, n int, k0 long, k1 long, k2 long, k3 long"))
+    distinct = written(lines.groupBy("h").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count("*").alias("n"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(4))).withColumn("g", F.xxhash64("h")))
+    texts = rows.select("text").mapInArrow(_texts(fuzzy_from), "h binary, line string")
+    near = written(_near(distinct, texts, fuzzy_from).withColumn("near", F.lit(True)))
     told = distinct.select("h", "first", "n").join(near, "h", "left").where("n > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
     return (lines.select("id", "th", "no", "h").join(told, "h").where(~(F.struct("id", "th", "no").eqNullSafe(F.col("first"))) | F.col("near"))
             .groupBy("id", "th").agg(F.collect_set(F.struct("no", "near")).alias("drops")))
