@@ -13,10 +13,12 @@ from mesalith.llm._common import components, written
 
 #: Vectors that the shard centres are drawn from, and the most centres.
 CENTRE_SAMPLE, MOST_CENTRES = 4096, 1024
-#: A shard is meant to have about so many vectors of a label; at SHARD_MOST it is split by a hash, and every part is searched for every vector of the shard.
+#: Vectors for each centre. A shard has those of one label; at SHARD_MOST it is split by a hash, and every part is searched for every vector of the shard.
 SHARD, SHARD_MOST = 1000, 3000
 #: Shards that a vector belongs to: its nearest centres.
-OVERLAP = 3
+OVERLAP = 2
+#: Centres are at least so far apart (cosine), so that a group of near copies doesn't take many of them and isn't torn apart.
+APART = 0.8
 #: Out-degree of the graph, candidates that pruning starts from, and the slack of robust pruning.
 DEGREE, POOL, ALPHA = 24, 64, 1.2
 #: Search: beam width before the range grows; vectors searched at once.
@@ -99,8 +101,8 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], start: int, queries: np
 
 
 def _centres(rows: DataFrame, n: int) -> np.ndarray:
-    """Shard centres: a bounded sample, thinned by a few rounds of k-means on the driver."""
-    k = int(min(MOST_CENTRES, max(1, math.ceil(n / SHARD / 10))))
+    """Shard centres: a few rounds of k-means over a bounded sample on the driver, then thinned."""
+    k = int(min(MOST_CENTRES, max(1, math.ceil(n / SHARD))))
     if k == 1:
         return np.zeros((0, 0))
     share = min(1.0, CENTRE_SAMPLE / n)
@@ -116,7 +118,11 @@ def _centres(rows: DataFrame, n: int) -> np.ndarray:
         np.add.at(total, own, x)
         hit = np.linalg.norm(total, axis=1) > 1e-9
         c[hit] = unit(total[hit])
-    return c
+    kept: list[int] = []
+    for i in range(len(c)):
+        if not kept or (c[kept] @ c[i]).max() < APART:
+            kept.append(i)
+    return c[kept]
 
 
 def _places(centres: np.ndarray):
