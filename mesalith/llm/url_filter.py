@@ -12,8 +12,8 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 
 #: Sorts before every character of a key; ends the host part, so that a host is never the prefix of a longer label.
 END = "\x01"
-#: Sorts after every other character.
-TOP = "\U0010ffff"
+#: Keys are compared as UTF-8 bytes; this byte is in none of them and sorts after all.
+TOP = b"\xff"
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -47,8 +47,8 @@ def sweep_events(rules: DataFrame) -> DataFrame:
     parents = (ups.where("up <> key").join(rules.select(F.col("key").alias("up"), F.col("rule").alias("p_rule"), F.col("verdict").alias("p_verdict")), "up")
                .groupBy("key").agg(F.max_by(F.struct("p_rule", "p_verdict"), F.length("up")).alias("p")))
     top = rules.join(parents, "key", "left")
-    start = top.select(F.col("key").alias("at"), F.lit(1).alias("kind"), F.length("key").alias("tie"), F.struct("rule", "verdict").alias("state"))
-    end = top.select(F.concat("key", F.lit(TOP)).alias("at"), F.lit(0).alias("kind"), (-F.length("key")).alias("tie"),
+    start = top.select(F.col("key").cast("binary").alias("at"), F.lit(1).alias("kind"), F.length("key").alias("tie"), F.struct("rule", "verdict").alias("state"))
+    end = top.select(F.concat(F.col("key").cast("binary"), F.lit(bytearray(TOP))).alias("at"), F.lit(0).alias("kind"), (-F.length("key")).alias("tie"),
                      F.struct(F.col("p.p_rule").alias("rule"), F.col("p.p_verdict").alias("verdict")).alias("state"))
     return start.unionByName(end)
 
@@ -80,7 +80,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         levels = F.filter(F.array(*map(F.lit, depths)), lambda d: d <= F.size(labels))
         # depth 0 keeps urls whose host has no level of a rule
         keyed = (rows.select("id", "url", "n", "host", "path", F.explode(F.concat(F.array(F.lit(0)), levels)).alias("depth"))
-                 .withColumn("at", F.when(F.col("depth") > 0, F.concat(F.array_join(F.slice(F.reverse(F.split("host", "\\.")), 1, F.greatest("depth", F.lit(1))), "."), F.lit(END), "path")).otherwise(F.lit(""))))
+                 .withColumn("at", F.when(F.col("depth") > 0, F.concat(F.array_join(F.slice(F.reverse(F.split("host", "\\.")), 1, F.greatest("depth", F.lit(1))), "."), F.lit(END), "path")).otherwise(F.lit("")).cast("binary")))
         events = sweep_events(rule_table(spark, tuple(rules.items())))
         none = F.lit(None)
         points = keyed.select((F.pmod(F.xxhash64("id", "url"), F.lit(salts))).cast("int").alias("salt"), "at", F.lit(2).alias("kind"), F.lit(0).alias("tie"),

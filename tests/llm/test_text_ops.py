@@ -173,7 +173,7 @@ def brute_url(url, rules, default="allow"):
 def test_url_rules(spark):
     rng = random.Random(3)
     rules = [*url_filter.RULES, ("org/e", "block"), ("b.org/en/", "block"), ("b.org/en/12/", "allow"), ("a.b.org/", "block")]
-    urls = [None, "", "nourl", "http://", "HTTP://Org", "x://ORG/?a", "a://b.org#/en/", "http://a.b.org/en/12/x\ny?q", "http://org/e://x/", "http://borg/", "http://.org/en/12"]
+    urls = [None, "", "nourl", "http://", "HTTP://Org", "x://ORG/?a", "a://b.org#/en/", "http://a.b.org/en/12/x\ny?q", "http://org/e://x/", "http://borg/", "http://.org/en/12", "http://org/\U0010ffffx", "http://a.b.org/\U0010ffff"]
     urls += ["http://" + ".".join(rng.choice(["a", "b", "org", "com", "example"]) for _ in range(rng.randrange(1, 5))) + rng.choice(["", "/", "/en/12/3", "/en/1", "/es/", "/fr/9", "/de/x", "/e"]) for _ in range(300)]
     rows = [(i % 290, u, "html", "x") for i, u in enumerate(urls)] + [(5, "x://ORG/?a", "", "")] * 3 + [(None, "http://com/de/", "", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, rule string")
