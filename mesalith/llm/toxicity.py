@@ -20,6 +20,8 @@ BUCKETS = 1 << 18
 SEGMENT = 48
 WORD = re.compile(r"[^\W\d_]+")
 WORDS_KEPT = 300_000
+#: Rows that are tagged at once.
+PART = 500
 
 
 def features(word: str) -> list[int]:
@@ -217,6 +219,13 @@ def train(texts: list[str], ys: list[int], seed: int = 0) -> Crf:
     return model
 
 
+def _parts(batches):
+    """A few hundred rows at a time, so that the words of a batch don't pile up."""
+    for b in batches:
+        for at in range(0, b.num_rows, PART):
+            yield b.slice(at, PART)
+
+
 _NAMES = ["id", "held_out", "score", "predicted", "toxic_spans", "n_spans"]
 
 
@@ -248,7 +257,7 @@ def score_toxicity(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col
                 v = known[w] = own.emission(w)
             return v
 
-        for b in batches:
+        for b in _parts(batches):
             texts = [t or "" for t in b.column(2).to_pylist()]
             found = [WORD.findall(t) for t in texts]
             tagged = own.tag([np.fromiter(map(emission, w), float, len(w)) for w in found])
@@ -282,7 +291,7 @@ def drop_toxic(docs: DataFrame, model: Crf, text_col: str = "text", threshold: f
         own = Crf()
         own.weights, own.trans, own.start, own.calibration = sent.value
         known: dict[str, float] = {}
-        for b in batches:
+        for b in _parts(batches):
             rows = []
             for t in b.column(at).to_pylist():
                 words = WORD.findall(t or "")
