@@ -7,12 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from mesalith.functions import text
-from mesalith.operators import raster
 from mesalith.plans import views
 from mesalith.plans.mesh_queries import STATS
 from mesalith.plans.raster_queries import longs, rounded
 from mesalith.plans.registry import query
-from mesalith.plans.views import DEM, PTS, X, Y, mesh_sql
+from mesalith.plans.views import DEM, PTS, mesh_sql
 from mesalith.sources import text as files
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mesalith.functions import geom
-from mesalith.operators import dense, kernels, mesh, points, quality, raster
+from mesalith.operators import dense, kernels, mesh, points, quality
 from mesalith.plans import views
 from mesalith.plans.raster_queries import longs, rounded
 from mesalith.plans.registry import query
-from mesalith.plans.views import DEM, EMB, PTS, X, Y, mesh_sql
+from mesalith.plans.views import DEM, mesh_sql
 
 for step in (1, 3):
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mesalith.functions import codec, geom, mercator
+from mesalith.functions import codec, geom
 from mesalith.operators import mesh, raster, tiles
 from mesalith.plans import views
 from mesalith.plans.raster_queries import longs, rounded
 from mesalith.plans.registry import query
-from mesalith.plans.views import DEM, SIZE, X, Y, ZOOM, mesh_sql
+from mesalith.plans.views import DEM, SIZE, ZOOM, mesh_sql
 from mesalith.sources import binary
 
 HALF = "20037508.342789243e0"
