@@ -13,6 +13,8 @@ from mesalith.llm._common import fold
 #: Labelled documents that are learned from, at most about; and the most blocks of each that a training step sees.
 SAMPLE_DOCS = 4000
 TRAIN_BLOCKS = 20
+#: Share of the texts of a training step that are cut to a short piece, as few documents are short.
+SHORT_SHARE = 0.2
 #: Bytes of a stride; a filter sees two strides. Strides of a block; a chunk is two neighbouring blocks, so chunks overlap by half.
 STRIDE, BLOCK = 4, 32
 DIM, FILTERS, HIDDEN = 6, 24, 12
@@ -158,9 +160,13 @@ def train(texts: list[str], ys: list[int], epochs: int = 12, batch: int = 64, ra
         pick = rng.choice(len(data), min(batch, len(data)), p=weight)
         codes, counts = [], []
         for i in pick:
-            have = max(1, -(-len(data[i]) // BLOCK_BYTES))
+            text = data[i]
+            if rng.random() < SHORT_SHARE:
+                start = int(rng.integers(0, max(1, len(text) - 8)))
+                text = text[start: start + int(rng.integers(8, BLOCK_BYTES))]
+            have = max(1, -(-len(text) // BLOCK_BYTES))
             at = int(rng.integers(0, max(1, have - TRAIN_BLOCKS + 1)))
-            codes.append(blocks_of(data[i], at, min(have, at + TRAIN_BLOCKS)))
+            codes.append(blocks_of(text, at, min(have, at + TRAIN_BLOCKS)))
             counts.append(len(codes[-1]))
         model.step(np.concatenate(codes), np.array(counts), y[pick], state, rate * (1 - 0.9 * k / steps))
     x = model.summaries(data)

@@ -8,7 +8,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from mesalith.llm import bpe, exact_dedup, packing, secrets, url_filter
 
