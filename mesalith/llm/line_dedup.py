@@ -204,7 +204,7 @@ def apply_drops(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) -
         schema = schema.add(name, "integer")
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts, gone = b.column(cols.index(text_col)).to_pylist(), b.column(len(cols)).to_pylist()
             out, n = [], ([], [], [])
             for t, drop in zip(texts, gone, strict=True):

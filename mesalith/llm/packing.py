@@ -21,7 +21,7 @@ END_ID = 1
 #: Tokens of a step group; each group has sequences of one context size only.
 STEP_TOKENS = 1 << 16
 #: Strings whose ids a task remembers before it forgets them all.
-UNITS_KEPT = 400_000
+UNITS_KEPT = 250_000
 
 #: Pre-tokens never reach over the start of white space (but for one blank before a word), so that the ids of these units, put together, are those of the text.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
