@@ -16,8 +16,12 @@ from mesalith.sources import text as files
 
 
 def scratch(spark, name: str) -> str:
-    """A new path in the warehouse, which all executors share."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    """A new path in the warehouse, which all executors share; it goes when the application ends."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}")
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(top)
+    fs.deleteOnExit(top)
+    return f"{top.toString()}/data"
 
 
 @query("tokenize", "SELECT doc_id, CAST(len(t) AS BIGINT) AS n, t[1] AS first, t[-1] AS last FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\n\\r\\t]+'), lambda x: x <> '') AS t FROM documents)")
