@@ -20,7 +20,7 @@ SLACK = 0.16
 BUCKET = 4096
 #: Documents, and shingles, of a group that are held against each other at once; larger groups are dealt over blocks.
 BLOCK, BLOCK_ITEMS = 4096, 4_000_000
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -243,7 +243,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nearest = (placed.join(split, "key", "left_semi").select("key", salt, "num", "comp").join(nodes.select("num", "n", "regs"), "num")
                .groupBy("key", "salt").applyInArrow(_partners(percent), "a long, b long"))
     more = written(nearest.distinct())
-    groups = components(likely.unionByName(more)) if not more.isEmpty() else grouped
+    # the groups so far are stars already, which settle in fewer rounds than their pairs
+    groups = components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)) if not more.isEmpty() else grouped
     # full sets are looked at again for the members of groups only
     shared = groups.join(nodes.select(F.col("num").alias("node"), "n", F.col("node").alias("digest"), F.col("least").alias("id")), "node").select(F.col("node").alias("num"), "component", "n", "digest", "id")
     sizes = shared.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int").alias("blocks"))
@@ -256,8 +257,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     outside = large.join(most, "component").where("part <> most").select("num", "items", "component", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     visits = outside.where("block <> own").select("num", "items", "component", "block", F.lit(True).alias("ask")).unionByName(large.select("num", "items", "component", "block", F.lit(False).alias("ask")))
     if not large.isEmpty():
-        links = links.unionByName(written(visits.groupBy("component", "block").applyInArrow(_confirm(percent), "a long, b long")))
-        joined = components(links)
+        across = written(visits.groupBy("component", "block").applyInArrow(_confirm(percent), "a long, b long"))
+        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
     placed = nodes.select("num", "node", "least", "copies").join(joined.select(F.col("node").alias("num"), "component"), "num", "left").select("node", "least", "copies", F.coalesce("component", "num").alias("comp"))
     grouped = placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
     named = placed.join(grouped, "comp").select("node", "component_id")
