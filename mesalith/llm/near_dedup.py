@@ -163,11 +163,48 @@ def _partners(percent: int):
     return run
 
 
+def join_all(comp: np.ndarray, ask: np.ndarray, linked_to, first: int | None = None) -> list[tuple[int, int]]:
+    """Links that join all that is connected by pairs with one side (at least) asked for; comp is changed on the way.
+
+    linked_to(i) tells all that i is linked with. Who is in the largest component at its turn is passed over, and comes
+    again in a further pass if that component isn't the largest any more; so in the end all who never asked are in one
+    component. Gives at most one link for each component that is joined.
+    """
+    links: list[tuple[int, int]] = []
+    asked = np.zeros(len(comp), bool)
+
+    def hold(i: int) -> None:
+        asked[i] = True
+        linked = linked_to(i)
+        linked = linked[comp[linked] != comp[i]]
+        for c, at in zip(*np.unique(comp[linked], return_index=True), strict=True):
+            links.append((i, int(linked[at])))
+            comp[comp == c] = comp[i]
+
+    if first is not None:
+        hold(first)
+    while len(todo := np.flatnonzero(ask & ~asked & (comp != np.bincount(comp).argmax()))):
+        for i in todo.tolist():
+            if comp[i] != np.bincount(comp).argmax():
+                hold(i)
+    # who was passed over may be linked with some outside that aren't asked for: the fewer of both are held against all
+    idle = np.flatnonzero(ask & ~asked)
+    if len(idle):
+        rest = np.flatnonzero(~asked & (comp != comp[idle[0]]))
+        if len(rest) <= len(idle):
+            for i in rest.tolist():
+                if comp[i] != comp[idle[0]]:
+                    hold(i)
+        else:
+            for i in idle.tolist():
+                hold(i)
+    return links
+
+
 def exact_links(sets: list[np.ndarray], percent: int, ask: np.ndarray) -> list[tuple[int, int]]:
     """Links that join all documents (of those asked for) that are connected, counted on full sets through an inverted index.
 
-    A document is held against all others at once; those that already are in the largest component needn't be, as
-    every other document is asked in its turn. Gives at most one link for each component that a document joins.
+    A document is held against all others at once. Gives at most one link for each component that a document joins.
     """
     sizes = np.array([len(x) for x in sets])
     _, code = np.unique(np.concatenate(sets), return_inverse=True)
@@ -175,22 +212,17 @@ def exact_links(sets: list[np.ndarray], percent: int, ask: np.ndarray) -> list[t
     doc = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     order = np.argsort(code, kind="stable")
     posting, first = doc[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
-    comp, links = np.arange(len(sets)), []
     # the document with the most common shingles first: it joins the most
     common = np.add.reduceat((first[code + 1] - first[code]) / 1.0, ends - sizes) / sizes
-    turn = [int(common.argmax()), *np.flatnonzero(ask).tolist()]
-    for k, i in enumerate(turn):
-        if k and comp[i] == np.bincount(comp).argmax():
-            continue
+
+    def linked_to(i: int) -> np.ndarray:
         own = code[ends[i] - sizes[i]: ends[i]]
         starts, n = first[own], first[own + 1] - first[own]
         at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
         both = np.bincount(posting[at], minlength=len(sets))
-        linked = np.flatnonzero((100 * both >= percent * (sizes + sizes[i] - both)) & (comp != comp[i]))
-        for c in np.unique(comp[linked]):
-            links.append((i, int(linked[comp[linked] == c][0])))
-            comp[comp == c] = comp[i]
-    return links
+        return np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both))
+
+    return join_all(np.arange(len(sets)), ask, linked_to, int(common.argmax()))
 
 
 def _confirm(percent: int):

@@ -61,6 +61,33 @@ def test_against_all_pairs(spark, monkeypatch, k, block):
     assert kept.columns == docs.columns and 0 < kept.count() < len(rows)
 
 
+def test_links_of_passed_over_documents():
+    core, x, own = range(70), range(100, 130), iter(range(1000, 2000))
+    take = lambda n: [next(own) for _ in range(n)]
+    docs = [[*core, *x[:20], *take(10)], [*core, *x[10:], *take(10)], [*core, *x], list(core)]
+    sets = [np.array(sorted(d), np.uint64) for d in docs]
+    for order in ([0, 1, 2, 3], [3, 2, 1, 0], [2, 0, 3, 1]):
+        links = nd.exact_links([sets[i] for i in order], 80, np.ones(4, bool))
+        assert {frozenset(order[i] for i in pair) for pair in links} == {frozenset((0, 2)), frozenset((1, 2))}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_join_all_against_union(seed):
+    rng = np.random.default_rng(seed)
+    n = 14
+    near = np.triu(rng.random((n, n)) < rng.choice([0.05, 0.12, 0.25]), 1)
+    near |= near.T
+    ask = rng.random(n) < rng.choice([0.3, 0.7, 1.0])
+    want = np.arange(n)
+    for _ in range(n):
+        for i, j in np.argwhere(near & (ask[:, None] | ask)):
+            want[want == max(want[i], want[j])] = min(want[i], want[j])
+    comp = np.arange(n)
+    links = nd.join_all(comp, ask, lambda i: np.flatnonzero(near[i]), 0)
+    assert all(near[i, j] for i, j in links)
+    assert all(comp[i] == comp[j] for i, j in np.argwhere(want[:, None] == want))
+
+
 def test_empty(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
