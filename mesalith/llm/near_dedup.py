@@ -16,7 +16,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE = 1.2, 20.0
 #: Pairs whose estimate is this much (about five standard errors) below the threshold are not confirmed on full sets.
 SLACK = 0.16
-#: Members of a bucket that are compared with each other at once; larger buckets are split by a hash that differs from band to band.
+#: Members of a bucket that are compared with each other at once; larger buckets are dealt over blocks that meet each other.
 BUCKET = 4096
 #: Documents, and shingles, of a group that are held against each other at once; larger groups are dealt over blocks.
 BLOCK, BLOCK_ITEMS = 4096, 4_000_000
@@ -78,16 +78,26 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
 _GRID = np.linspace(0, 1, 101)
 
 
-def estimate(up: np.ndarray, down: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity by maximum likelihood, jointly from the sizes of both sets and the numbers of registers that are larger in a (up), larger in b (down), or equal."""
+def _score(up: np.ndarray, down: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Log-likelihood of the similarities of the grid."""
     u = (n_a / (n_a + n_b))[:, None]
     v = 1 - u
     p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
-    more, less = p(u - v * _GRID), p(v - u * _GRID)
+    more, less = p(u - v * grid), p(v - u * grid)
     up, down = up[:, None], down[:, None]
     tiny = 1e-12
-    score = up * np.log(more + tiny) + down * np.log(less + tiny) + (REGISTERS - up - down) * np.log(np.maximum(1 - more - less, tiny))
-    return _GRID[score.argmax(1)]
+    return up * np.log(more + tiny) + down * np.log(less + tiny) + (REGISTERS - up - down) * np.log(np.maximum(1 - more - less, tiny))
+
+
+def estimate(up: np.ndarray, down: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity by maximum likelihood, jointly from the sizes of both sets and the numbers of registers that are larger in a (up), larger in b (down), or equal."""
+    return _GRID[_score(up, down, n_a, n_b, _GRID).argmax(1)]
+
+
+def reaches(up: np.ndarray, down: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the estimate is `least` or more: the likelihood has one peak, so it still rises there."""
+    score = _score(up, down, n_a, n_b, np.array([least - 0.01, least]))
+    return score[:, 1] >= score[:, 0]
 
 
 def _signatures(k: int):
@@ -142,27 +152,47 @@ def _likely(percent: int):
 
 
 def _partners(percent: int):
-    """Pairs (a, b) of one bucket that are not grouped yet: each document outside the largest group, with the one of another group whose registers agree most."""
+    """Links (a, b) that join all likely pairs within a block of a bucket whose members aren't one group yet; `ask` marks the documents that are compared with all others."""
 
     def run(table: pa.Table) -> pa.Table:
         node, comp = table["num"].to_numpy(), table["comp"].to_numpy()
         n = table["n"].to_numpy().astype(float)
         regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
         _, comp = np.unique(comp, return_inverse=True)
-        rest, best = np.flatnonzero(comp != np.bincount(comp).argmax()), []
-        for i in rest:
-            fit = (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (comp != comp[i])
-            best.append(int(np.where(fit, (regs == regs[i]).sum(1), -1).argmax()) if fit.any() else int(i))
-        best = np.array(best, np.int64)
-        rest, best = rest[best != rest], best[best != rest]
-        if len(rest):
-            ok = estimate((regs[rest] > regs[best]).sum(1), (regs[rest] < regs[best]).sum(1), n[rest], n[best]) >= percent / 100 - SLACK
-            rest, best = rest[ok], best[ok]
-        return pa.table({"a": pa.array(node[rest]), "b": pa.array(node[best])})
+
+        def linked_to(i: int) -> np.ndarray:
+            fit = np.flatnonzero((100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (comp != comp[i]))
+            other = regs[fit]
+            return fit[reaches((regs[i] > other).sum(1), (regs[i] < other).sum(1), np.full(len(fit), n[i]), n[fit], percent / 100 - SLACK)]
+
+        found = join_all(comp, table["ask"].to_numpy(zero_copy_only=False), linked_to)
+        return pa.table({"a": pa.array([node[i] for i, _ in found], pa.int64()), "b": pa.array([node[j] for _, j in found], pa.int64())})
 
     return run
 
 
+def _blocks(torn: DataFrame) -> DataFrame:
+    """(key, salt, part, num, comp, ask): the members of torn buckets, dealt over blocks where there are more than BUCKET.
+
+    A member of a large bucket has a salt; those outside the bucket's largest group also have a part, and visit the
+    block of each salt and their part. So each pair that isn't of the largest group meets, and a block has about BUCKET members
+    and BUCKET visitors at most.
+    """
+    one = torn.where(F.col("size") <= BUCKET).select("key", F.lit(0).alias("salt"), F.lit(0).alias("part"), "num", "comp", F.lit(True).alias("ask"))
+    large = written(torn.where(F.col("size") > BUCKET))
+    if large.isEmpty():
+        return one
+    most = large.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("most"), F.max("n").alias("in_most"))
+    salted = (large.join(most, "key").withColumn("outside", F.col("comp") != F.col("most"))
+              .withColumn("salts", F.ceil(F.col("size") / BUCKET).cast("int")).withColumn("parts", F.ceil((F.col("size") - F.col("in_most")) / BUCKET).cast("int"))
+              .withColumn("salt", F.pmod(F.xxhash64("key", "num"), F.col("salts")).cast("int")).withColumn("part", F.pmod(F.xxhash64("num", "key"), F.col("parts")).cast("int")))
+    place = lambda salt, part, ask: F.struct(salt.alias("salt"), part.alias("part"), ask.alias("ask"))
+    home = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: place(F.col("salt"), p, F.col("outside") & (p == F.col("part"))))
+    away = F.transform(F.filter(F.sequence(F.lit(0), F.col("salts") - 1), lambda s: s != F.col("salt")), lambda s: place(s, F.col("part"), F.lit(True)))
+    spread = salted.select("key", "num", "comp", F.explode(F.when(F.col("outside"), F.concat(home, away)).otherwise(home)).alias("at"))
+    return one.unionByName(spread.select("key", "at.salt", "at.part", "num", "comp", "at.ask"))
+
+
 def join_all(comp: np.ndarray, ask: np.ndarray, linked_to, first: int | None = None) -> list[tuple[int, int]]:
     """Links that join all that is connected by pairs with one side (at least) asked for; comp is changed on the way.
 
@@ -250,9 +280,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are not read.
 
     Equal sets are one node from the start (partial aggregation by digest). Nodes that share a band key are candidates:
-    each is compared with its bucket's first node, and where a bucket is not one group by then, with the node of
-    another group that most of its registers agree with; so a bucket of s nodes gives less than 2 s pairs. Pairs whose
-    estimate allows the threshold make groups, and within a group links are counted on full sets, each document
+    each is compared with its bucket's first node, and where a bucket is not one group by then, those outside its
+    largest group with all of it; a bucket of s nodes still gives less than 2 s pairs, as only those that join groups
+    are told. Pairs whose estimate allows the threshold make groups, and within a group links are counted on full sets, each document
     against all. A group of more than BLOCK documents is dealt over blocks by a hash; documents that are not in its
     largest component then visit all blocks. Candidates come from hashing: at the threshold about 3 pairs in 1,000,000
     share no band key.
@@ -271,9 +301,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = components(likely)
     placed = member.join(grouped.select(F.col("node").alias("num"), "component"), "num", "left").select("key", "size", "num", F.coalesce("component", "num").alias("comp"))
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    salt = F.pmod(F.xxhash64("key", "num"), F.ceil(F.col("size") / BUCKET)).alias("salt")
-    nearest = (placed.join(split, "key", "left_semi").select("key", salt, "num", "comp").join(nodes.select("num", "n", "regs"), "num")
-               .groupBy("key", "salt").applyInArrow(_partners(percent), "a long, b long"))
+    nearest = (_blocks(placed.join(split, "key", "left_semi")).join(nodes.select("num", "n", "regs"), "num")
+               .groupBy("key", "salt", "part").applyInArrow(_partners(percent), "a long, b long"))
     more = written(nearest.distinct())
     # the groups so far are stars already, which settle in fewer rounds than their pairs
     groups = components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)) if not more.isEmpty() else grouped

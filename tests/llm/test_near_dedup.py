@@ -88,6 +88,40 @@ def test_join_all_against_union(seed):
     assert all(comp[i] == comp[j] for i, j in np.argwhere(want[:, None] == want))
 
 
+def test_reaches_is_the_estimate():
+    rng = np.random.default_rng(5)
+    up, down = rng.integers(0, 70, 3000), rng.integers(0, 70, 3000)
+    n_a = rng.integers(50, 5000, 3000).astype(float)
+    n_b = n_a * rng.uniform(0.8, 1.25, 3000)
+    assert (nd.reaches(up, down, n_a, n_b, 0.64) == (nd.estimate(up, down, n_a, n_b) > 0.635)).all()
+
+
+@pytest.mark.parametrize("bucket", [4096, 12])
+def test_bucket_of_a_template(spark, monkeypatch, bucket):
+    """One bucket, whose first node is unlike the others: all likely pairs meet, whatever blocks they are in, and chains are followed."""
+    monkeypatch.setattr(nd, "BUCKET", bucket)
+    rng = np.random.default_rng(6)
+    fresh = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    template, sets = fresh(600), [np.arange(400, dtype=np.uint64)]
+    for _ in range(25):
+        own = fresh(600)
+        sets += [np.concatenate([template, own[60 * k: 600], fresh(60 * k)]) for k in range(3)]
+    regs = [nd.registers(x) for x in sets]
+    n = len(sets)
+    rows = [(7, i, i, n, len(x), bytearray(r.tobytes())) for i, (x, r) in enumerate(zip(sets, regs, strict=True))]
+    torn = spark.createDataFrame(rows, "key long, num long, comp long, size long, n long, regs binary")
+    got = nd._blocks(torn.drop("n", "regs")).join(torn.select("num", "n", "regs"), "num").groupBy("key", "salt", "part").applyInArrow(nd._partners(80), "a long, b long").collect()
+    true = [(i, j) for i in range(n) for j in range(i) if min(map(len, (sets[i], sets[j]))) * 100 >= 80 * max(map(len, (sets[i], sets[j]))) and nd.estimate(*(np.array([v], float) for v in ((regs[i] > regs[j]).sum(), (regs[i] < regs[j]).sum(), len(sets[i]), len(sets[j]))))[0] >= 0.635]
+
+    def united(pairs):
+        comp = np.arange(n)
+        for i, j in pairs:
+            comp[comp == comp[i]] = comp[j]
+        return {frozenset(np.flatnonzero(comp == c).tolist()) for c in comp}
+
+    assert len(true) >= 50 and united([(r.a, r.b) for r in got]) == united(true)
+
+
 def test_empty(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
