@@ -19,6 +19,5 @@ QUERIES = {
 
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
-    "op9_embedding_dedup": embedding_dedup.op9,
     "op10_url_filter": url_filter.ORACLE,
 }

@@ -39,6 +39,12 @@ def test_contract():
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100
 
 
+def test_oracles_are_sql():
+    import __spark_entry__ as e
+
+    assert all(isinstance(sql, str) for sql in e.oracle_sql().values())
+
+
 def test_engine_stands_alone(tmp_path):
     """Without the training-data operators and their pipeline, the driver's module imports and has the other queries."""
     import os
