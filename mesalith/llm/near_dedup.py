@@ -107,14 +107,14 @@ def _signatures(k: int):
         shingle = Shingler(k)
         for b in batches:
             rows = []
-            for ident, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for ident, text, th in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 s = shingle(text.as_py())
                 if len(s):
                     r = registers(s)
-                    rows.append((ident, len(s), xxhash.xxh3_128_digest(s.tobytes()), r.tobytes(), band_keys(r)))
+                    rows.append((ident, th, len(s), xxhash.xxh3_128_digest(s.tobytes()), r.tobytes(), band_keys(r)))
                 else:
-                    rows.append((ident, 0, None, None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 5, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["id", "n", "node", "regs", "keys"])
+                    rows.append((ident, th, 0, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["id", "th", "n", "node", "regs", "keys"])
 
     return run
 
@@ -287,10 +287,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     largest component then visit all blocks. Candidates come from hashing: at the threshold about 3 pairs in 1,000,000
     share no band key.
     """
+    out = _rows_in_groups(docs, id_col, text_col, shingle, percent)
+    comp = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.col("grouped").isNull()).alias("kept"))
+
+
+def _rows_in_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """One row per document: id, th (text hash), n, component_id, best and grouped; the last three are null where a document is alone. best (none, id, th) is the group's first row, null ids last."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = written(rows.mapInArrow(_signatures(shingle), "id long, n long, node binary, regs binary, keys array<long>"))
+    sig = written(rows.withColumn("th", F.xxhash64("text")).mapInArrow(_signatures(shingle), "id long, th long, n long, node binary, regs binary, keys array<long>"))
     # the written numbers of the nodes are what everything after goes by
-    nodes = written(sig.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
+    nodes = written(sig.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("best"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
                     .withColumn("num", F.monotonically_increasing_id()))
     banded = nodes.select("num", F.explode("keys").alias("key"))
     buckets = written(banded.groupBy("key").agg(F.min("num").alias("a"), F.count("*").alias("size")).where("size > 1"))
@@ -320,18 +327,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not large.isEmpty():
         across = written(visits.groupBy("component", "block").applyInArrow(_confirm(percent), "a long, b long"))
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
-    placed = nodes.select("num", "node", "least", "copies").join(joined.select(F.col("node").alias("num"), "component"), "num", "left").select("node", "least", "copies", F.coalesce("component", "num").alias("comp"))
-    grouped = placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
-    named = placed.join(grouped, "comp").select("node", "component_id")
-    out = sig.select("id", "n", "node").join(named.withColumn("grouped", F.lit(True)), "node", "left")
-    comp = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.col("grouped").isNull()).alias("kept"))
+    placed = nodes.select("num", "node", "least", "best", "copies").join(joined.select(F.col("node").alias("num"), "component"), "num", "left").select("node", "least", "best", "copies", F.coalesce("component", "num").alias("comp"))
+    grouped = placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("best").alias("chosen"), F.sum("copies").alias("size")).where("size > 1")
+    named = placed.join(grouped, "comp").select("node", "component_id", F.col("chosen").alias("best"))
+    return sig.select("id", "th", "n", "node").join(named.withColumn("grouped", F.lit(True)), "node", "left")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents (all columns) without those that aren't kept; rows that repeat a kept id and text all stay."""
-    gone = near_duplicates(docs, id_col, text_col, shingle, percent).where("not kept").select(F.col(id_col).cast("long").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """The documents (all columns) that are alone, and of each group the one with the smallest (id, text hash), null ids last.
+
+    Rows are told by id and text: rows that repeat a kept id and text all stay, but for those without an id, of which
+    one stays. Texts without shingles stay, all of them.
+    """
+    told = _rows_in_groups(docs, id_col, text_col, shingle, percent).where("grouped and not (id <=> best.id and th = best.th)")
+    gone = written(told.select(F.col("id").alias("__gone"), F.col("th").alias("__th")).distinct())
+    ident, th = F.col(id_col).cast("long"), F.xxhash64(text_col)
+    named = docs.where(ident.isNotNull()).join(gone.where("__gone is not null"), (ident == F.col("__gone")) & (th == F.col("__th")), "left_anti")
+    nameless = docs.where(ident.isNull())
+    some = F.coalesce(F.col(text_col).rlike(r"\S"), F.lit(False))
+    left = nameless.where(some).withColumn("__own", th).join(gone.where("__gone is null").select("__th"), F.col("__own") == F.col("__th"), "left_anti")
+    return named.unionByName(nameless.where(~some)).unionByName(left.dropDuplicates(["__own"]).drop("__own"))
 
 
 def op5(spark, sf_dir):

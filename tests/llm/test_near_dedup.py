@@ -122,6 +122,26 @@ def test_bucket_of_a_template(spark, monkeypatch, bucket):
     assert len(true) >= 50 and united([(r.a, r.b) for r in got]) == united(true)
 
 
+def test_keep_one_by_row(spark):
+    copy, near = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(59))
+    lone = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdefg"]
+    rows = [
+        (1, copy), (None, copy), (None, lone[0]),  # a copy without an id takes no other along
+        (None, lone[1]), (None, lone[1]), (None, lone[1].upper()),  # a group without ids: one stays
+        (2, near), (2, lone[2]),  # an id with two texts
+        (3, lone[3]), (3, lone[3]),  # repeated rows stay
+        (4, lone[4]), (4, lone[4] + " end"),  # one id, two texts of one group: one stays
+        (None, None), (None, ""), (None, " "), (None, None), (5, None),
+    ]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int").repartition(3)
+    got = [(r.doc_id, r.text) for r in nd.keep_one(docs).collect()]
+    assert nd.keep_one(docs).columns == docs.columns
+    ends = [(i, t) for i, t in got if t and (t.lower().startswith(lone[1]) or t.startswith(lone[4]))]
+    assert sorted(i or 0 for i, _ in ends) == [0, 4]
+    want = [(1, copy), (None, lone[0]), (2, lone[2]), (3, lone[3]), (3, lone[3]), (None, None), (None, ""), (None, " "), (None, None), (5, None)]
+    assert sorted((g for g in got if g not in ends), key=repr) == sorted(want, key=repr)
+
+
 def test_empty(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
