@@ -1,4 +1,4 @@
-"""Embedding near-dedup on a robust-pruned flat graph: built on overlapping shards, joined, searched from medoids, verified."""
+"""Embedding near-dedup on a robust-pruned flat graph: built on overlapping shards, joined, searched from the medoids of its components and the vector itself, verified."""
 
 from __future__ import annotations
 
@@ -60,10 +60,28 @@ def medoid(x: np.ndarray) -> int:
     return int((x @ x.sum(0)).argmax())
 
 
-def range_search(x: np.ndarray, graph: list[np.ndarray], start: int, queries: np.ndarray, least: float, beam: int = BEAM) -> np.ndarray:
+def entry_points(x: np.ndarray, graph: list[np.ndarray]) -> np.ndarray:
+    """The medoid of each connected component of a graph with edges both ways."""
+    comp = np.full(len(x), -1)
+    out = []
+    for i in range(len(x)):
+        if comp[i] < 0:
+            comp[i], wait = i, [i]
+            while wait:
+                near = graph[wait.pop()]
+                near = near[comp[near] < 0]
+                comp[near] = i
+                wait += near.tolist()
+            own = np.flatnonzero(comp == i)
+            out.append(int(own[medoid(x[own])]))
+    return np.array(out, np.int64)
+
+
+def range_search(x: np.ndarray, graph: list[np.ndarray], starts: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float, beam: int = BEAM) -> np.ndarray:
     """For each query, a row of booleans: the vectors found whose cosine is `least` or more (float, verified later).
 
-    Greedy search from the medoid over the graph with a beam; then the range expands: every found vector within the
+    Greedy search over the graph with a beam, from the medoids of its components and from the query itself where it
+    is a vector of the graph (own, else -1); then the range expands: every found vector within the
     range has its neighbours looked at, until nothing new is in the range. All queries go step by step together.
     """
     n, q = len(x), len(queries)
@@ -72,8 +90,11 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], start: int, queries: np
     for i, g in enumerate(graph):
         table[i, : len(g)] = g
     seen, sim, open_ = np.zeros((q, n), bool), np.full((q, n), -np.inf), np.zeros((q, n), bool)
-    sim[:, start] = queries @ x[start]
-    seen[:, start] = open_[:, start] = True
+    sim[:, starts] = queries @ x[starts].T
+    seen[:, starts] = open_[:, starts] = True
+    r = np.flatnonzero(own >= 0)
+    sim[r, own[r]] = np.einsum("ij,ij->i", queries[r], x[own[r]])
+    seen[r, own[r]] = open_[r, own[r]] = True
     live = np.arange(q)
     while len(live):
         # of what is seen, the best `beam` and all that are in the range may be expanded
@@ -151,6 +172,10 @@ def _build(table: pa.Table) -> pa.Table:
     ids = np.array(table["id"].to_pylist(), np.int64)
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], _matrix(table["v"])[order]
+    # equal vectors are one node, named by the smallest id
+    _, first = np.unique(x, axis=0, return_index=True)
+    first = np.sort(first)
+    ids, x = ids[first], x[first]
     graph = robust_prune(x) if len(x) > 1 else np.zeros((len(x), 0), np.int32)
     return pa.table({"id": pa.array(ids), "near": pa.array([ids[g[g >= 0]] for g in graph], pa.list_(pa.int64()))})
 
@@ -167,19 +192,26 @@ def _search(least: float):
         ids, x, member, own_part, shards = ids[order], x[order], member[order], own_part[order], [set(shards[i]) for i in order]
         near = [table["near"][int(i)].as_py() for i in order]
         n = int(member.sum())
-        spot = {int(v): i for i, v in enumerate(ids[:n])}
-        graph = [np.array(sorted({spot[v] for v in g or () if v in spot}), np.int64) for g in near[:n]]
+        # equal vectors are one node, and one query
+        alike, query = np.unique(x, axis=0, return_inverse=True)
+        query = query.reshape(-1)
+        inside, own = np.unique(query[:n]), np.full(len(alike), -1)
+        own[inside] = np.arange(len(inside))
+        spot = {int(v): int(own[k]) for v, k in zip(ids[:n], query[:n], strict=True)}
+        nodes, around = alike[inside], [set() for _ in inside]
+        for i, g in enumerate(near[:n]):
+            around[own[query[i]]].update(spot[v] for v in g or () if v in spot)
         # edges both ways
-        back: list[list[int]] = [[] for _ in range(n)]
-        for i, g in enumerate(graph):
-            for j in g.tolist():
-                back[j].append(i)
-        graph = [np.union1d(g, np.array(b, np.int64)) for g, b in zip(graph, back, strict=True)]
-        found = np.zeros((len(ids), n), bool)
+        for i, g in enumerate([sorted(g) for g in around]):
+            for j in g:
+                around[j].add(i)
+        graph = [np.array(sorted(g - {i}), np.int64) for i, g in enumerate(around)]
+        hit = np.zeros((len(alike), len(nodes)), bool)
         if n:
-            start = medoid(x[:n])
-            for at in range(0, len(ids), AT_ONCE):
-                found[at: at + AT_ONCE] = range_search(x[:n], graph, start, x[at: at + AT_ONCE], least)
+            starts = entry_points(nodes, graph)
+            for at in range(0, len(alike), AT_ONCE):
+                hit[at: at + AT_ONCE] = range_search(nodes, graph, starts, alike[at: at + AT_ONCE], own[at: at + AT_ONCE], least)
+        found = hit[query][:, own[query[:n]]]
         found[:n] |= found[:n].T
         found[np.arange(n), np.arange(n)] = False
         a, b = np.nonzero(found)

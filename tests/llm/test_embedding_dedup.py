@@ -47,6 +47,16 @@ def test_against_all_pairs(spark, monkeypatch, most):
     assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("noise", [0.01, 0.0])
+def test_groups_larger_than_the_pool(spark, noise):
+    """Pools lie within their group, so no edge leaves it; every group is found all the same."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(3, 16))
+    rows = [(i, (base[i % 3] + noise * rng.normal(size=16)).tolist(), 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    assert sorted(tuple(r) for r in ed.embedding_links(df).collect()) == sorted(brute(rows))
+
+
 def test_table_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding), r.label) for r in df.collect()]
