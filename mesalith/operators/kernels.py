@@ -205,14 +205,19 @@ def ring(radius: int) -> Iterator[tuple[int, int]]:
 
 def nearest_average(z: np.ndarray, row: int, col: int, samples: int = 1) -> float:
     """The cell's own value, else the mean of all samples of the first rings that have `samples` of them; NaN if there are none."""
+    return ring_search(z, row, col, samples, 2, int(math.hypot(*z.shape)))[0]
+
+
+def ring_search(z: np.ndarray, row: int, col: int, samples: int, first: int, last: int) -> tuple[float, bool]:
+    """nearest_average over the rings first..last, and whether it ended with enough samples."""
     if not math.isnan(z[row, col]):
-        return float(z[row, col])
+        return float(z[row, col]), True
     found: list[float] = []
-    for radius in range(2, int(math.hypot(*z.shape)) + 1):
+    for radius in range(first, last + 1):
         found += [v for dx, dy in ring(radius) if not math.isnan(v := subsample(z, row + dy, col + dx))]
         if len(found) >= samples:
             break
-    return sum(found) / len(found) if found else math.nan
+    return sum(found) / len(found) if found else math.nan, len(found) >= samples
 
 
 def as_grid(pdf: pd.DataFrame) -> tuple[np.ndarray, int, int]:
@@ -224,16 +229,48 @@ def as_grid(pdf: pd.DataFrame) -> tuple[np.ndarray, int, int]:
 
 
 def ring_fill(cells: DataFrame, m: Meta, chip: int = 512, halo: int = 64, samples: int = 1) -> DataFrame:
-    """(row, col, z) of the no-data cells, from their nearest valid neighbours within the chip and its halo; holes deeper than the halo stay null."""
-    from mesalith.operators.raster import chips
+    """(row, col, z) of the no-data cells, from their nearest valid neighbours; null only where the raster has no valid cell.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, r0, c0 = as_grid(pdf)
-        own = pdf[pdf["z"].isna() & (pdf["row"] // chip == pdf["chip_row"]) & (pdf["col"] // chip == pdf["chip_col"])]
-        v = [nearest_average(z, r - r0, c - c0, samples) for r, c in zip(own["row"], own["col"], strict=True)]
-        return pd.DataFrame({"row": own["row"], "col": own["col"], "z": v})
+    A ring of a radius up to the halo lies within the chip and its halo. Cells that need a wider one are searched for
+    again with a halo four times as wide, in their chips only, until none is left or the halo covers the raster.
+    """
+    from mesalith.operators.raster import chips
 
-    return dealt(chips(cells, m, chip, halo), "chip_row", "chip_col").groupBy("chip_row", "chip_col").applyInPandas(run, "row int, col int, z double").withColumn("z", F.when(~F.isnan("z"), F.col("z")))
+    limit = int(math.hypot(m.height, m.width))
+
+    def fill(halo: int, whole: bool):
+        reach = limit if whole else min(halo, limit)
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            z, r0, c0 = as_grid(pdf)
+            own = pdf[pdf["z"].isna() & pdf["open"] & (pdf["row"] // chip == pdf["chip_row"]) & (pdf["col"] // chip == pdf["chip_col"])]
+            rows, cols = np.nonzero(~np.isnan(z))
+            values, done = [], []
+            for r, c in zip(own["row"] - r0, own["col"] - c0, strict=True):
+                # smaller rings have no valid cell
+                least = int(np.maximum(np.abs(rows - r), np.abs(cols - c)).min()) if len(rows) else reach + 1
+                v, enough = ring_search(z, r, c, samples, max(2, least), reach)
+                values.append(v)
+                done.append(enough or whole)
+            return pd.DataFrame({"row": own["row"], "col": own["col"], "z": values, "done": np.array(done, bool)})
+
+        return run
+
+    found, chosen = None, chips(cells.select("row", "col", "z").withColumn("open", F.lit(True)), m, chip, halo)
+    while True:
+        whole = halo >= max(m.height, m.width)
+        told = dealt(chosen, "chip_row", "chip_col").groupBy("chip_row", "chip_col").applyInPandas(fill(halo, whole), "row int, col int, z double, done boolean")
+        if not whole:
+            told = told.persist()
+        part = told.where("done").select("row", "col", F.when(~F.isnan("z"), F.col("z")).alias("z"))
+        found = part if found is None else found.unionByName(part)
+        left = told.where("not done").select("row", "col")
+        if whole or left.isEmpty():
+            return found
+        halo *= 4
+        now = cells.select("row", "col", "z").join(left.withColumn("open", F.lit(True)), ["row", "col"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        at = left.select(F.floor(F.col("row") / chip).alias("chip_row"), F.floor(F.col("col") / chip).alias("chip_col")).distinct()
+        chosen = chips(now, m, chip, halo).join(at, ["chip_row", "chip_col"], "left_semi")
 
 
 # Greedy refinement ----------------------------------------------------------------------------------------------------

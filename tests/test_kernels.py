@@ -91,3 +91,16 @@ def test_average_pyramid():
     z = np.arange(16.0).reshape(4, 4)
     m = k.average_pyramid(z)
     assert m[1, 1] == (0 + 1 + 4 + 5) / 4 and m[3, 3] == (10 + 11 + 14 + 15) / 4 and np.isnan(m[0, 0])
+
+
+@pytest.mark.parametrize("samples", [1, 3])
+def test_ring_fill_beyond_the_halo(spark, samples):
+    from mesalith.functions.grid import Meta
+
+    z = np.full((20, 26), np.nan)
+    z[0, 0], z[1, 3], z[19, 1] = 3, 6, 12
+    cells = spark.createDataFrame([(r, c, None if math.isnan(z[r, c]) else float(z[r, c])) for r in range(20) for c in range(26)], "row int, col int, z double")
+    got = {(r.row, r.col): r.z for r in k.ring_fill(cells, Meta(26, 20), 8, 2, samples).collect()}
+    want = {(r, c): k.nearest_average(z, r, c, samples) for r, c in np.argwhere(np.isnan(z)).tolist()}
+    assert got == want
+    assert {r.z for r in k.ring_fill(cells.withColumn("z", k.F.lit(None).cast("double")), Meta(26, 20), 8, 2).collect()} == {None}
