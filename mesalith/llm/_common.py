@@ -41,6 +41,33 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Marked for broadcast if it has no more than `most` rows (narrow ones: keys and sizes); else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+#: Keys that hold more than one in so many rows are joined apart; there are at most as many of them.
+HOT = 1000
+
+
+def join_back(rows: DataFrame, found: DataFrame, keys: list[str], copies: str, spread: str) -> DataFrame:
+    """rows left-joined with found, which has one row per key; copies: rows that have the key.
+
+    Keys of more than one in HOT rows of all those found are broadcast: HOT at most, whatever the corpus. Rows that have got
+    theirs, and those without a key, go on by a hash of the column `spread`, so no task gets all rows of a key.
+    """
+    total = found.agg(F.sum(copies)).first()[0] or 0
+    told = F.struct(*(c for c in found.columns if c not in keys))
+    hot = F.broadcast(found.where(F.col(copies) * HOT > total).select(*keys, told.alias("__hot")))
+    rest = found.where(F.col(copies) * HOT <= total).select(*keys, told.alias("__rest"), F.pmod(F.col(copies), F.lit(1)).cast("long").alias("__spread"))
+    some = rows.join(hot, keys, "left")
+    through = F.col("__hot").isNotNull()
+    for k in keys:
+        through |= F.col(k).isNull()
+    some = some.withColumn("__spread", F.when(through, F.xxhash64(spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
+    return some.join(rest, [*keys, "__spread"], "left").select(*rows.columns, F.coalesce("__hot", "__rest").alias("__told")).select(*rows.columns, "__told.*")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
     """Connected components by alternating large-star and small-star steps, all of it distributed.
 
