@@ -24,7 +24,7 @@ APART = 0.8
 #: Out-degree of the graph, candidates that pruning starts from, and the slack of robust pruning.
 DEGREE, POOL, ALPHA = 24, 64, 1.2
 #: Search: beam width before the range grows; open vectors expanded in a step; vectors searched at once.
-BEAM, STEP, AT_ONCE = 48, 8, 256
+BEAM, STEP, AT_ONCE = 48, 64, 256
 #: Below this audited recall, the parts are searched again, all their vectors against all.
 RECALL, AUDIT = 0.9, 500
 
@@ -89,10 +89,8 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], starts: np.ndarray, que
     range has its neighbours looked at, until nothing new is in the range. All queries go step by step together.
     """
     n, q = len(x), len(queries)
-    width = max((len(g) for g in graph), default=0)
-    table = np.full((n, max(1, width)), -1, np.int64)
-    for i, g in enumerate(graph):
-        table[i, : len(g)] = g
+    degree = np.array([len(g) for g in graph], np.int64)
+    first, flat = np.cumsum(degree) - degree, np.concatenate([np.zeros(0, np.int64), *graph])
     seen, sim, open_ = np.zeros((q, n), bool), np.full((q, n), -np.inf), np.zeros((q, n), bool)
     sim[:, starts] = queries @ x[starts].T
     seen[:, starts] = open_[:, starts] = True
@@ -116,13 +114,14 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], starts: np.ndarray, que
         row = np.repeat(live, pick.shape[1])[good.ravel()]
         node = pick.ravel()[good.ravel()]
         open_[row, node] = False
-        near = table[node]
-        r, c = np.repeat(row, near.shape[1])[(near >= 0).ravel()], near[near >= 0]
-        new = ~seen[r, c]
-        r, c = r[new], c[new]
-        seen[r, c] = True
-        sim[r, c] = np.einsum("ij,ij->i", queries[r], x[c])
-        open_[r, c] = True
+        d = degree[node]
+        new = np.zeros((q, n), bool)
+        new[np.repeat(row, d), flat[np.arange(d.sum()) + np.repeat(first[node] - (np.cumsum(d) - d), d)]] = True
+        r, c = np.nonzero(new & ~seen)
+        seen[r, c] = open_[r, c] = True
+        for at in range(0, len(r), 1 << 16):
+            a, b = r[at: at + (1 << 16)], c[at: at + (1 << 16)]
+            sim[a, b] = np.einsum("ij,ij->i", queries[a], x[b])
     return sim >= least - 1e-6
 
 
