@@ -1,4 +1,4 @@
-"""Byte-level BPE by a global distinct-word shuffle: every distinct word is encoded in one task, whose ids go back to its places."""
+"""Byte-level BPE by a global distinct-word shuffle: every distinct word is encoded once, and its ids are joined back to its places."""
 
 from __future__ import annotations
 
@@ -13,7 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A block of documents is closed at so many pre-tokens; it is the unit in which positions are counted and put together again.
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 20
+#: Hash buckets of words, at most: a full block's packs have some hundred words each.
+BUCKETS = 512
+#: Words of a bucket that a task remembers before it forgets them all.
+WORDS_KEPT = 2_000_000
+#: Pre-tokens of a document that are put together at once.
+PIECE = 1 << 20
 
 
 def default_ranks() -> str:
@@ -84,34 +90,30 @@ def _expand(part: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(part)
 
 
-_BLOCK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+_BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("codes", pa.binary()), ("packs", pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())])))])
 
 
 def _blocks(pattern: str, most: int, buckets: int):
-    """Rows (bucket, block, words, counts, places): the distinct words of a block that fall in a hash bucket, how often each occurs, and the gaps between its positions in the block. Bucket -1 has the block's documents: (id, whether it is null, pre-tokens)."""
+    """Rows (block, docs, codes, packs): of each document the id, whether it is null, and its pre-tokens; the number of the word at each position; the block's distinct words by hash bucket, in the order of their numbers."""
 
     def close(block, words, codes, docs):
         import zlib
 
         names = list(words)
         bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in names), np.int32, len(names))
-        by_bucket = np.argsort(bucket, kind="stable")
-        rank = np.empty(len(names), np.int32)
-        rank[by_bucket] = np.arange(len(names), dtype=np.int32)
-        codes = rank[np.concatenate(codes)] if names else np.zeros(0, np.int32)
-        order = np.argsort(codes, kind="stable").astype(np.int32)
-        per = np.bincount(codes, minlength=len(names))
-        ends = np.cumsum(per)
-        gaps = np.diff(order, prepend=np.int32(0))
-        gaps[ends - per] = order[ends - per]
-        firsts = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
-        rows = [(-1, block, b"", b"", _squeeze(np.array([x for d in docs for x in d], np.int64).tobytes())[0])]
-        for k in range(buckets):
-            a, b = firsts[k], firsts[k + 1]
-            if a < b:
-                own = gaps[ends[a - 1] if a else 0: ends[b - 1]]
-                rows.append((k, block, *_squeeze("\n".join(names[i].replace("\\", "\\\\").replace("\n", "\\n") for i in by_bucket[a:b]).encode()), squeeze_ints(per[a:b]), squeeze_ints(own)))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _BLOCK.types, strict=True)], schema=_BLOCK)
+        codes = np.concatenate(codes)
+        # in a bucket the most frequent word first
+        order = np.lexsort((-np.bincount(codes, minlength=len(names)), bucket))
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        packs = []
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            part = "\n".join([names[i].replace("\\", "\\\\").replace("\n", "\\n") for i in order[ends[k]: ends[k + 1]].tolist()])
+            packs.append({"bucket": k, "words": _squeeze(part.encode())[0]})
+        head = _squeeze(np.array([x for d in docs for x in d], np.int64).tobytes())[0]
+        row = ([block], [head], [squeeze_ints(rank[codes])], [packs])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, _BLOCK.types, strict=True)], schema=_BLOCK)
 
     def run(batches):
         import regex
@@ -135,6 +137,17 @@ def _blocks(pattern: str, most: int, buckets: int):
     return run
 
 
+_PACK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary())])
+
+
+def _packs(batches):
+    """(bucket, block, words): the distinct words of blocks, exploded by bucket."""
+    for b in batches:
+        for block, packs in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+            if packs:
+                yield pa.RecordBatch.from_arrays([pa.array([x["bucket"] for x in packs], pa.int32()), pa.array([block] * len(packs), pa.int64()), pa.array([x["words"] for x in packs], pa.binary())], schema=_PACK)
+
+
 _ESCAPED = {"\\\\": "\\", "\\n": "\n"}
 
 
@@ -145,67 +158,62 @@ def _spelt(part: bytes) -> list[str]:
     return [re.sub(r"\\\\|\\n", lambda m: _ESCAPED[m[0]], w) if "\\" in w else w for w in words]
 
 
-_CODED = pa.schema([("block", pa.int64()), ("header", pa.bool_()), ("lengths", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+_CODED = pa.schema([("bucket", pa.int32()), ("of", pa.int64()), ("lengths", pa.binary()), ("ids", pa.binary())])
 
 
 def _encode(path: str, pattern: str):
-    """Rows (block, lengths, ids, counts, places). All rows of a bucket come one after another in one task, so each distinct word is encoded once."""
+    """Rows (bucket, of, lengths, ids). All rows of a bucket come one after another in one task, so each distinct word is encoded once."""
 
     def run(batches):
         encode = _encoding(path, pattern).encode_ordinary
-        known, of = {}, None
+        known, last = {}, None
         for batch in batches:
             rows = []
-            for bucket, block, words, counts, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket < 0:
-                    rows.append((block, True, b"", b"", counts, places))
-                    continue
-                if bucket != of:
-                    known, of = {}, bucket
-                names = _spelt(words)
-                for w in names:
-                    if w not in known:
-                        ids = encode(w)
-                        known[w] = (len(ids), np.array(ids, "<u4").tobytes())
-                found = [known[w] for w in names]
-                ids = np.frombuffer(b"".join([x for _, x in found]), "<u4")
-                rows.append((block, False, squeeze_ints(np.array([n for n, _ in found])), squeeze_ints(ids), counts, places))
+            for bucket, block, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != last:
+                    known, last = {}, bucket
+                found = []
+                for w in _spelt(words):
+                    if (ids := known.get(w)) is None:
+                        ids = known[w] = np.array(encode(w), "<u4").tobytes()
+                    found.append(ids)
+                rows.append((bucket, block, squeeze_ints(np.array([len(x) // 4 for x in found])), squeeze_ints(np.frombuffer(b"".join(found), "<u4"))))
+                if len(known) > WORDS_KEPT:
+                    known = {}
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _CODED.types, strict=True)], schema=_CODED)
 
     return run
 
 
+def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return values[np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)]
+
+
 def _together(path: str, with_ids: bool):
-    """Put a block's ids in their places; per document: ids, their digest, and the digest of the decoded bytes."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["header", "lengths", "ids", "counts", "places"]).to_pylist()
-        head = np.frombuffer(b"".join(_expand(r["places"]) for r in rows if r["header"]), np.int64).reshape(-1, 3)
-        rows = [r for r in rows if not r["header"]]
-        whole = lambda name: np.concatenate([np.zeros(0, np.int64), *(expand_ints(r[name]) for r in rows)])
-        lengths, data, per, gaps = whole("lengths"), whole("ids").astype("<u4"), whole("counts"), whole("places")
-        first = np.cumsum(per) - per
-        at = np.cumsum(gaps)
-        if len(per):
-            at -= np.repeat(at[first] - gaps[first], per)
-        word_at = np.empty(len(at), np.int32)
-        word_at[at] = np.repeat(np.arange(len(per), dtype=np.int32), per)
-        del gaps, at
-        starts = np.cumsum(lengths) - lengths
-        n = lengths[word_at]
-        stop = np.cumsum(n)
-        bounds = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(head[:, 2])])]
-        tokens = np.concatenate([[0], np.cumsum(head[:, 2])])
-        table_of, out = token_bytes(path), []
-        for k, (ident, null, _) in enumerate(head.tolist()):
-            a, b = tokens[k], tokens[k + 1]
-            own_n = n[a:b]
-            index = np.arange(bounds[k + 1] - bounds[k]) + np.repeat(starts[word_at[a:b]] - (np.cumsum(own_n) - own_n), own_n)
-            own = data[index]
-            decoded = b"".join(map(table_of.__getitem__, own.tolist()))
-            out.append((None if null else ident, len(own), hashlib.sha256(own.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()) + ((own.astype(np.int32), decoded) if with_ids else ()))
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32()), pa.binary()] if with_ids else [])]
-        names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
+    """Join a block's ids back to its positions, and the ids with the token-byte table; per document: ids, their digest, and the digest of the decoded bytes."""
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32()), pa.binary()] if with_ids else [])]
+
+    def run(block: pa.Table, packs: pa.Table) -> pa.Table:
+        out, spelling = [], token_bytes(path)
+        packs = packs.sort_by("bucket").select(["lengths", "ids"]).to_pylist()
+        whole = lambda name: np.concatenate([np.zeros(0, np.int64), *(expand_ints(r[name]) for r in packs)])
+        n_ids, ids = whole("lengths"), whole("ids").astype("<u4")
+        ids_at = np.cumsum(n_ids) - n_ids
+        for b in block.select(["docs", "codes"]).to_pylist():
+            codes, at = expand_ints(b["codes"]), 0
+            for ident, null, n in np.frombuffer(_expand(b["docs"]), np.int64).reshape(-1, 3).tolist():
+                total, sums, kept = 0, (hashlib.sha256(), hashlib.sha256()), ([], [])
+                for cut in range(at, at + n, PIECE):
+                    own = codes[cut: min(at + n, cut + PIECE)]
+                    found = _gather(ids, ids_at[own], n_ids[own])
+                    total += len(found)
+                    for digest, keep, part in zip(sums, kept, (found.tobytes(), b"".join(map(spelling.__getitem__, found.tolist()))), strict=True):
+                        digest.update(part)
+                        if with_ids:
+                            keep.append(part)
+                at += n
+                out.append((None if null else ident, total, *(x.hexdigest() for x in sums), *((np.frombuffer(b"".join(kept[0]), "<u4").astype(np.int32), b"".join(kept[1])) if with_ids else ())))
         cols = list(zip(*out, strict=True)) or [[]] * len(names)
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
@@ -218,20 +226,24 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null counts as the empty text (no ids). Rows may repeat and ids may be null; each row gives one row. Other columns
     are not read. ranks: path of a rank file, the same on all executors; pattern: the pre-token pattern.
 
-    A task cuts its documents into blocks; a distinct word of a block is one entry with all its positions there, so
-    the most frequent word sends one entry a block. Entries are dealt by a hash of the word (packed by bucket, four
-    buckets a shuffle partition); each distinct word is encoded in one task, and its ids travel with the positions
-    back to the block, where they are put in place. Decoding looks ids up in the token-byte table. Block numbers come
-    from the partition and a counter, so a task that runs again makes the same blocks.
+    A task cuts its documents into blocks and numbers each block's distinct words; the word numbers are the positions,
+    and travel once, to the task that puts the block together. Only distinct words go to the buckets of a hash (packed, BUCKETS of them at
+    most, so a block has no more packs than that on any cluster; with more shuffle partitions, a bucket is dealt over
+    several tasks by the block). Each distinct word is encoded once a task, and ids are joined back to their block. A frequent word is
+    one entry a block. What a block holds is bounded by block_tokens (or one document). Block numbers come from the
+    partition and a counter, so a task that runs again makes the same blocks.
     """
     path, pattern = ranks or default_ranks(), pattern or default_pattern()
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(BUCKETS, 4 * partitions)
     kind = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if with_ids else "")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    words = rows.mapInArrow(_blocks(pattern, block_tokens, buckets), "bucket int, block long, words binary, counts binary, places binary")
-    dealt = words.repartition(F.col("bucket"), F.when(F.col("bucket") < 0, F.col("block"))).sortWithinPartitions("bucket")
-    coded = dealt.mapInArrow(_encode(path, pattern), "block long, header boolean, lengths binary, ids binary, counts binary, places binary")
-    return coded.groupBy("block").applyInArrow(_together(path, with_ids), kind).withColumnRenamed("id", id_col)
+    # both uses of the blocks read one shuffle: they take the same columns, so Spark makes it once
+    blocks = rows.mapInArrow(_blocks(pattern, block_tokens, buckets), "block long, docs binary, codes binary, packs array<struct<bucket:int,words:binary>>").repartition("block")
+    packs = blocks.mapInArrow(_packs, "bucket int, block long, words binary")
+    dealt = packs.repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(max(1, partitions // buckets)))).sortWithinPartitions("bucket")
+    coded = dealt.mapInArrow(_encode(path, pattern), "bucket int, of long, lengths binary, ids binary")
+    return blocks.groupBy("block").cogroup(coded.groupBy("of")).applyInArrow(_together(path, with_ids), kind).withColumnRenamed("id", id_col)
 
 
 def op8(spark, sf_dir):
