@@ -8,10 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mesalith.llm._common import written
+from mesalith.llm._common import free_name, written
 
-#: Shorter lines (code points) are compared for equality only.
-FUZZY_FROM = 20
 #: Parts of a line in the second, finer search for lines that differ in one part only.
 SEGMENTS = 16
 
@@ -41,9 +39,8 @@ def _batches(rows, names, types, most: int = 20_000):
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=names)
 
 
-def _hashed(fuzzy_from: int):
-    """(id, th, no, h, n, k0..k3): each line's 128-bit hash, its length and, if it is long enough, its half keys."""
-    none = [None] * 4
+def _hashed():
+    """(id, th, no, h, n, k0..k3): each line's 128-bit hash, its length and its half keys."""
     types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), *[pa.int64()] * 4]
     names = ["id", "th", "no", "h", "n", "k0", "k1", "k2", "k3"]
 
@@ -53,7 +50,7 @@ def _hashed(fuzzy_from: int):
         def rows(b):
             for ident, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 for no, line in _cut(text.as_py()):
-                    yield ident, th, no, xxhash.xxh3_128_digest(line), len(line), *(half_keys(line) if len(line) >= fuzzy_from else none)
+                    yield ident, th, no, xxhash.xxh3_128_digest(line), len(line), *half_keys(line)
 
         for b in batches:
             yield from _batches(rows(b), names, types)
@@ -61,15 +58,12 @@ def _hashed(fuzzy_from: int):
     return run
 
 
-def _texts(fuzzy_from: int):
-    def run(batches):
-        import xxhash
-
-        for b in batches:
-            lines = (line for text in b.column(0) for _, line in _cut(text.as_py()) if len(line) >= fuzzy_from)
-            yield from _batches(((xxhash.xxh3_128_digest(x), x) for x in lines), ["h", "line"], [pa.binary(), pa.string()], 5000)
+def _texts(batches):
+    import xxhash
 
-    return run
+    for b in batches:
+        lines = (line for text in b.column(0) for _, line in _cut(text.as_py()))
+        yield from _batches(((xxhash.xxh3_128_digest(x), x) for x in lines), ["h", "line"], [pa.binary(), pa.string()], 5000)
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
@@ -126,10 +120,10 @@ def within_one_edit(a: str, b: str) -> bool:
     return a[i:] == b[i + 1:] if len(a) < len(b) else a[i + 1:] == b[i:]
 
 
-def _near(distinct: DataFrame, texts: DataFrame, fuzzy_from: int) -> DataFrame:
+def _near(distinct: DataFrame, texts: DataFrame) -> DataFrame:
     """(h) of lines with an earlier line within one edit."""
     # first search, on hashes only: lines that share half of their text with another one
-    keyed = distinct.where("k0 is not null").select("g", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
+    keyed = distinct.select("g", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"))
     maybe = written(keyed.join(_shared(keyed), "key", "left_semi").select("g").distinct())
     found = texts.withColumn("g", F.xxhash64("h")).join(maybe, "g", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
     cand = written(found.join(distinct.join(maybe, "g", "left_semi").select("h", "first"), "h"))
@@ -163,13 +157,13 @@ def _near(distinct: DataFrame, texts: DataFrame, fuzzy_from: int) -> DataFrame:
     return named.select("h", "x", "y").mapInArrow(verify, "h binary").distinct()
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fuzzy_from: int = FUZZY_FROM) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents (all columns) with cleaned texts, and n_lines, n_dropped, n_near as further columns.
 
     Lines are what stands between newlines, trimmed of blanks, tabs and carriage returns for comparison; blank lines
     stay and count in n_lines only. The earliest occurrence of a line by (id, text hash, line number) stays, later
-    ones go. Lines of fuzzy_from characters or more also go, in all places, where an earlier line of that length is
-    within edit distance 1 of them, whether or not that one goes itself (n_near counts these; n_dropped counts both).
+    ones go. A line also goes, in all places, where an earlier line is within edit distance 1 of it, however short,
+    whether or not that one goes itself (n_near counts these; n_dropped counts both).
     Null texts stay null with 0 lines, empty texts have one blank line; null ids come first. Rows that repeat an id
     and text are treated alike. All documents stay; a text that loses all its lines becomes empty. The names n_lines,
     n_dropped and n_near are replaced where the input has them.
@@ -178,16 +172,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     emitted for those lines alone that share all of their text but one sixteenth with another line, which two searches
     on hashed keys find without loss; of each variant only the earliest line is joined, never all pairs.
     """
-    return apply_drops(docs, dropped_lines(docs, id_col, text_col, fuzzy_from), id_col, text_col)
+    return apply_drops(docs, dropped_lines(docs, id_col, text_col), id_col, text_col)
 
 
-def dropped_lines(docs: DataFrame, id_col: str, text_col: str, fuzzy_from: int) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, drops): for each text that loses lines, their numbers and whether each goes for being nearly equal."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    lines = written(rows.mapInArrow(_hashed(fuzzy_from), "id long, th long, no int, h binary, n int, k0 long, k1 long, k2 long, k3 long"))
+    lines = written(rows.mapInArrow(_hashed(), "id long, th long, no int, h binary, n int, k0 long, k1 long, k2 long, k3 long"))
     distinct = written(lines.groupBy("h").agg(F.min(F.struct("id", "th", "no")).alias("first"), F.count("*").alias("n"), *(F.first(f"k{i}").alias(f"k{i}") for i in range(4))).withColumn("g", F.xxhash64("h")))
-    texts = rows.select("text").mapInArrow(_texts(fuzzy_from), "h binary, line string")
-    near = written(_near(distinct, texts, fuzzy_from).withColumn("near", F.lit(True)))
+    texts = rows.select("text").mapInArrow(_texts, "h binary, line string")
+    near = written(_near(distinct, texts).withColumn("near", F.lit(True)))
     told = distinct.select("h", "first", "n").join(near, "h", "left").where("n > 1 or near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
     return (lines.select("id", "th", "no", "h").join(told, "h").where(~(F.struct("id", "th", "no").eqNullSafe(F.col("first"))) | F.col("near"))
             .groupBy("id", "th").agg(F.collect_set(F.struct("no", "near")).alias("drops")))
@@ -198,7 +192,7 @@ def apply_drops(docs: DataFrame, drops: DataFrame, id_col: str, text_col: str) -
     base = docs.drop(*extra)
     cols = base.columns
     key = base.select(F.struct(*cols).alias("row"), F.col(id_col).cast("long").alias("own_id"), F.xxhash64(text_col).alias("own_th"))
-    joined = key.join(drops, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th")), "left").select("row.*", F.col("drops").alias("__drops"))
+    joined = key.join(drops, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th")), "left").select("row.*", F.col("drops").alias(free_name(base, "drops")))
     schema = base.schema
     for name in extra:
         schema = schema.add(name, "integer")

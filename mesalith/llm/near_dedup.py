@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mesalith.llm._common import components, written
+from mesalith.llm._common import components, free_name, written
 
 #: Bands and registers of a band. At a Jaccard similarity of 0.8, all bands differ for about 3 in 1,000,000 pairs.
 BANDS, ROWS = 30, 5
@@ -340,13 +340,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     one stays. Texts without shingles stay, all of them.
     """
     told = _rows_in_groups(docs, id_col, text_col, shingle, percent).where("grouped and not (id <=> best.id and th = best.th)")
-    gone = written(told.select(F.col("id").alias("__gone"), F.col("th").alias("__th")).distinct())
+    k_id, k_th, k_own = (free_name(docs, c) for c in ("gone", "gone_th", "own_th"))
+    gone = written(told.select(F.col("id").alias(k_id), F.col("th").alias(k_th)).distinct())
     ident, th = F.col(id_col).cast("long"), F.xxhash64(text_col)
-    named = docs.where(ident.isNotNull()).join(gone.where("__gone is not null"), (ident == F.col("__gone")) & (th == F.col("__th")), "left_anti")
+    named = docs.where(ident.isNotNull()).join(gone.where(F.col(k_id).isNotNull()), (ident == F.col(k_id)) & (th == F.col(k_th)), "left_anti")
     nameless = docs.where(ident.isNull())
     some = F.coalesce(F.col(text_col).rlike(r"\S"), F.lit(False))
-    left = nameless.where(some).withColumn("__own", th).join(gone.where("__gone is null").select("__th"), F.col("__own") == F.col("__th"), "left_anti")
-    return named.unionByName(nameless.where(~some)).unionByName(left.dropDuplicates(["__own"]).drop("__own"))
+    left = nameless.where(some).withColumn(k_own, th).join(gone.where(F.col(k_id).isNull()).select(k_th), F.col(k_own) == F.col(k_th), "left_anti")
+    return named.unionByName(nameless.where(~some)).unionByName(left.dropDuplicates([k_own]).drop(k_own))
 
 
 def op5(spark, sf_dir):

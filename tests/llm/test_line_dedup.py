@@ -26,7 +26,7 @@ def brute(rows, hashes):
                 spot = (i is not None, i or 0, th, no)
                 spots.append(line)
                 first[line] = min(first.get(line, spot), spot)
-    near = {x for x in first if len(x) >= ld.FUZZY_FROM and any(len(y) >= ld.FUZZY_FROM and first[y] < first[x] and distance(x, y) <= 1 for y in first)}
+    near = {x for x in first if any(first[y] < first[x] and distance(x, y) <= 1 for y in first)}
     out = []
     for (i, t), th in zip(rows, hashes, strict=True):
         keep, n = [], 0
@@ -64,6 +64,20 @@ def test_against_all_pairs(spark, seed):
     assert sum(w[4] for w in want) > 0
 
 
+@pytest.mark.parametrize("seed", [2, 3])
+def test_short_lines(spark, seed):
+    """Lines of one character and more, and columns whose names clash."""
+    rng = random.Random(seed)
+    rows = [(i, "\n".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(0, 20) if i % 2 else rng.randrange(0, 4))) for _ in range(3))) for i in range(40)]
+    rows += [(i + 100, edit(rng, t)) for i, t in rows if t and "\n" not in t[:1]]
+    docs = spark.createDataFrame([(*r, "en", 5) for r in rows], "doc_id long, text string, __drops string, th int").repartition(3)
+    got_rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    want = brute([(r.doc_id, r.text) for r in got_rows], [r.h for r in got_rows])
+    out = ld.line_dedup(docs)
+    assert out.columns == ["doc_id", "text", "__drops", "th", "n_lines", "n_dropped", "n_near"]
+    assert sorted((tuple(r) for r in out.select("doc_id", "text", "n_lines", "n_dropped", "n_near").collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_empty(spark):
     assert ld.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -37,7 +37,7 @@ def test_stages(spark, tmp_path):
     by_length = {}
     for x in first:
         by_length.setdefault(len(x), []).append(x)
-    near = {x for x in first if len(x) >= 20 and any(order[y] < order[x] and quick(x, y) for n in (len(x) - 1, len(x), len(x) + 1) if n >= 20 for y in by_length.get(n, ()))}
+    near = {x for x in first if x and any(y and order[y] < order[x] and quick(x, y) for n in (len(x) - 1, len(x), len(x) + 1) for y in by_length.get(n, ()))}
     for r in rows:
         brute[r.doc_id] = "\n".join(x for no, x in enumerate(r.text.split("\n")) if not x.strip(" \t\r") or (x.strip(" \t\r") not in near and first[x.strip(" \t\r")] == (r.doc_id, no)))
     assert {r.doc_id: r.text for r in out.collect()} == brute
