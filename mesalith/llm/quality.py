@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from mesalith.llm import labelled
 from mesalith.llm._common import fold
 
-#: Labelled documents that are learned from, at most about; and the most blocks of each that a training step sees.
+#: Labelled documents that are learned from, at most about; and the blocks of each that a training step sees: a run that starts
+#: anywhere in the text, so that over the steps every block is drawn. The calibration that follows sees all blocks.
 SAMPLE_DOCS = 4000
 TRAIN_BLOCKS = 20
 #: Share of the texts of a training step that are cut to a short piece, as few documents are short.

@@ -210,11 +210,14 @@ def train(texts: list[str], ys: list[int], seed: int = 0) -> Crf:
         if not words:
             continue
         tags = [int(y and _is_marked(w, marks)) for w in words]
-        at = [i - SEGMENT // 2 for i, g in enumerate(tags) if g][:4] if any(tags) else []
+        at: list[int] = []  # every tagged word is in a segment
+        for i, g in enumerate(tags):
+            if g and (not at or i >= at[-1] + SEGMENT):
+                at.append(max(0, i - SEGMENT // 2))
         at += [int(i) for i in rng.integers(0, max(1, len(words) - SEGMENT + 1), 2)]
         if y and not any(tags):
-            continue  # toxic, but no word is known to be why
-        for i in {max(0, i) for i in at}:
+            continue  # toxic, but no word is known to be why: its words have no labels, though its score is fitted like all others
+        for i in sorted(set(at)):
             part = words[i: i + SEGMENT]
             for w in part:
                 if w not in cache:
