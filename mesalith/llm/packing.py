@@ -12,9 +12,11 @@ from array import array
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mesalith.llm._common import small, written
+
 #: Context sizes; all are powers of two, the first is the longest.
 TIERS = (2048, 1024, 512, 256, 128, 64)
 END_ID = 1
@@ -45,8 +47,17 @@ def _tokenizer(path: str):
     return made, special, _by_ranks(path, special), {}
 
 
+@functools.cache
+def _splits_at_blanks(path: str) -> bool:
+    """Whether the file leaves texts as they are and cuts them by the byte-level pattern, so that units can be encoded on their own."""
+    with open(path) as f:
+        made = json.load(f)
+    pre = made.get("pre_tokenizer") or {}
+    return not made.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+
+
 def _by_ranks(path: str, special: tuple[str, ...]):
-    """Where the merges stand in the order of their ids, ranks alone give the tokenizer's ids; else None."""
+    """Where nothing but byte-level pre-tokens and merges in the order of their ids is at work, ranks alone give the tokenizer's ids; else None."""
     try:
         import public_tokenizers
         import tiktoken
@@ -54,6 +65,8 @@ def _by_ranks(path: str, special: tuple[str, ...]):
         return None
     with open(path) as f:
         model = json.load(f)["model"]
+    if not _splits_at_blanks(path) or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return None
     vocab = {k: v for k, v in model["vocab"].items() if k not in special}
     merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
     if None in merged or any(a >= b for a, b in zip(merged, merged[1:], strict=False)) or len(vocab) != 256 + len(merged):
@@ -70,11 +83,12 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer, self.special, self.by_ranks, self.known = _tokenizer(path)
+        self.whole = not _splits_at_blanks(path)
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if any(s in text for s in self.special):
+        if self.whole or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         units = _UNIT.findall(text)
         known = self.known
@@ -91,19 +105,19 @@ class Encoder:
 class Packer:
     """Open windows, one for each tier. A piece is (document, start, ids, the document's length)."""
 
-    def __init__(self, tiers=TIERS, first_id: int = 0, step_tokens: int = STEP_TOKENS):
+    def __init__(self, tiers=TIERS, first_id: int = 0):
         self.tiers = tuple(sorted(tiers, reverse=True))
         assert all(t & (t - 1) == 0 for t in self.tiers)
         self.open: dict[int, list] = {t: [] for t in self.tiers}
         self.used = dict.fromkeys(self.tiers, 0)
-        self.next, self.step_tokens, self.made = first_id, step_tokens, {}
+        self.next, self.made = first_id, {}
 
     def _close(self, size: int, pieces: list) -> list[tuple]:
-        """Rows of a full window: each with its sequence, context size and step group."""
+        """Rows of a full window: each with its sequence, context size and the number of windows of that size before it."""
         k = self.made[size] = self.made.get(size, -1) + 1
-        group, at, rows = k // max(1, self.step_tokens // size), 0, []
+        at, rows = 0, []
         for doc, start, ids, total in pieces:
-            rows.append((doc, start, ids, total, self.next, at, size, group))
+            rows.append((doc, start, ids, total, self.next, at, size, k))
             at += len(ids)
         self.next += 1
         return rows
@@ -165,7 +179,7 @@ class Packer:
         return done
 
 
-_COLS = (("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("context", pa.int64()), ("step_group", pa.int64()))
+_COLS = (("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("context", pa.int64()), ("nth", pa.int64()))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, tiers=TIERS, end_id: int = END_ID, step_tokens: int = STEP_TOKENS, with_ids: bool = False) -> DataFrame:
@@ -173,19 +187,22 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     A document's ids are those of its whole text (null: none) and end_id; each id lies in exactly one piece. All
     sequences have a power of two of tokens, so nothing is padded. Rows may repeat and ids may be null: every row is a
-    document of its own. Other columns are not read. step_group: within a task and context size, sequences of
-    step_tokens in all share a group.
+    document of its own. Other columns are not read. step_group: the sequences of a context size over the whole table
+    are dealt in order to groups of step_tokens tokens or less, whose totals differ by one sequence at most; the number
+    is unique over all context sizes.
 
     Each task packs what it reads, with at most one open window per tier, so memory doesn't grow with the input and
-    nothing is shuffled. Sequence ids join the partition's number and a counter: a task that runs again makes the same.
+    no text is shuffled. Pieces are written once; the sequences of each task and context size are counted, and the
+    counts (a row each, so tasks times tiers) give the first number of each. Sequence ids join the partition's number and a
+    counter: a task that runs again makes the same.
     """
     path = tokenizer or default_tokenizer()
-    kind = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context long, step_group long" + (", ids array<int>" if with_ids else "")
+    kind = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context long, nth long" + (", ids array<int>" if with_ids else "")
 
     def batch(rows):
         cols = list(zip(*rows, strict=True)) or [[]] * 8
-        doc, start, ids, total, seq, at, size, group = cols
-        values = [doc, start, [len(x) for x in ids], [zlib.crc32(np.ascontiguousarray(x, "<u4").tobytes()) for x in ids], total, seq, at, size, group]
+        doc, start, ids, total, seq, at, size, nth = cols
+        values = [doc, start, [len(x) for x in ids], [zlib.crc32(np.ascontiguousarray(x, "<u4").tobytes()) for x in ids], total, seq, at, size, nth]
         made = [pa.array(list(v), t) for v, (_, t) in zip(values, _COLS, strict=True)]
         names = [n for n, _ in _COLS]
         if with_ids:
@@ -195,7 +212,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     def run(batches):
         encode, task = Encoder(path), TaskContext.get()
-        packer = Packer(tiers, (task.partitionId() if task else 0) << 32, step_tokens)
+        packer = Packer(tiers, (task.partitionId() if task else 0) << 32)
         end = np.array([end_id], "<u4")
         rows = []
         for b in batches:
@@ -208,7 +225,25 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         if rows:
             yield batch(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, kind).withColumnRenamed("id", id_col)
+    pieces = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, kind))
+    named = _step_groups(pieces, step_tokens).drop("nth")
+    first = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context", "step_group"]
+    return named.select(F.col("id").alias(id_col), *first[1:], *(["ids"] if with_ids else []))
+
+
+def _step_groups(pieces: DataFrame, step_tokens: int) -> DataFrame:
+    """pieces with the step group of their sequence, from its task, context size and number there."""
+    task = F.shiftright("sequence_id", 32).alias("task")
+    counts = written(pieces.groupBy(task, "context").agg((F.max("nth") + 1).alias("n")))
+    # one window a context size, over a row for each task
+    before = Window.partitionBy("context").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    # sequences r of N go to group r * groups div N: groups of one size, but for one sequence
+    all_ = counts.groupBy("context").agg(F.sum("n").alias("all_n")).withColumn("groups", F.ceil(F.col("all_n") / F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("context")))).cast("long"))
+    starts = counts.select("task", "context", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")).join(F.broadcast(all_), "context")
+    starts = small(written(starts).select(F.col("task").alias("own_task"), F.col("context").alias("own_context"), "first", "all_n", "groups"))
+    told = pieces.join(starts, (F.shiftright("sequence_id", 32) == F.col("own_task")) & (F.col("context") == F.col("own_context")))
+    group = F.floor((F.col("first") + F.col("nth")).cast("decimal(38,0)") * F.col("groups") / F.col("all_n")).cast("long")
+    return told.withColumn("step_group", F.col("context") * F.lit(1 << 40) + group)
 
 
 def op7(spark, sf_dir):

@@ -84,6 +84,86 @@ def test_secret_spans(spark):
     assert secrets.secret_scan(empty(spark)).count() == 0
 
 
+def plain_scan(text):
+    """Spans by characters, without regular expressions."""
+    text, low, found = text or "", "", []
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    inner = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+
+    def run(at, chars):
+        end = at
+        while end < len(text) and text[end] in chars:
+            end += 1
+        return end
+
+    def assign(at):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, at):
+                at += len(name)
+                break
+        else:
+            return None
+        # an optional quote or blank may also be left alone, but then no sign follows
+        at += text[at: at + 1] in ('"', "'") and at < len(text)
+        at = run(at, " ")
+        if text[at: at + 1] not in (":", "=") or at >= len(text):
+            return None
+        at = run(at + 1, " ")
+        at += text[at: at + 1] in ('"', "'") and at < len(text)
+        end = run(at, inner)
+        return (at, end) if end > at else None
+
+    at = 0
+    while at < len(text):
+        if hit := assign(at):
+            if hit[1] - hit[0] >= 8:
+                found.append((at, 0, hit[1]))
+            at = hit[1]
+        else:
+            at += 1
+    for kind, head, chars, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), (2, "", set("0123456789abcdef"), 32)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(head), chars) if text.startswith(head, at) else at
+            if end > at + len(head):
+                if end - at >= least:
+                    found.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+    return sorted(found)
+
+
+def test_base_spans_against_a_plain_scanner():
+    rng = random.Random(11)
+    bits = ["token", "Secret", "api_key", "apikey", "PASSWORD", "passwd", "=", ":", " ", "  ", '"', "'", "AKIA", "AKIAABCDEFGHIJ12", "0123456789abcdef", "deadbeef", "abcdefgh", "x", "\n", "é", "-", "/+.", "K", "ſ", "\u212a"]
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(0, 14)))
+        assert secrets.base_spans(text) == plain_scan(text), text
+
+
+def test_allow_list_suppresses():
+    rng = random.Random(12)
+    key = "kZ8fQ2vXw7LmN4tR9yB1cD5g"
+    hits = lambda t: [s for s in secrets.scan(t)[1] if s[1] == 3]
+    assert hits(key) and hits(f"x {key} y")
+    for calm in ("example" + key, key + "Placeholder", "internationalization-of-things", "1234567890-1234567890_11", "123e4567-e89b-12d3-a456-426614174000", "some-long-module/name_of_file_12", "abcdefghijklmnopqrstuvwxyz"):
+        assert not hits(calm), calm
+    for _ in range(50):  # with an empty allow list, only entropy decides
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40))
+        assert not hits(word)
+        assert bool([s for s in secrets.scan(word, allow=())[1] if s[1] == 3]) == any(-sum(word[i: i + 20].count(c) / 20 * math.log2(word[i: i + 20].count(c) / 20) for c in set(word[i: i + 20])) >= 3.9 - 1e-12 for i in range(21))
+
+
+def test_secret_scan_of_odd_rows(spark):
+    long = "plain text " * 100_000 + "token=abcdefgh123"
+    rows = [(1, None), (1, ""), (2, "token=abcdefgh1"), (2, "token=abcdefgh1"), (None, "token=abcdefgh1"), (3, long)]
+    got = secrets.secret_scan(spark.createDataFrame([(*r, 7, "s", 1) for r in rows], "doc_id long, text string, n_hex int, spans string, id int")).collect()
+    want = [(i, len(secrets.base_spans(t or "")), secrets.joined(secrets.scan(t)[1])) for i, t in rows]
+    assert sorted(((r.doc_id, r.n_assign, r.spans) for r in got), key=repr) == sorted(want, key=repr)
+    assert [r.spans for r in got if r.doc_id == 3] == [f"assign:{len(long) - 17}:{len(long)}"]
+
+
 def test_redact_keeps_rows_and_columns(spark, docs):
     out = secrets.redact_secrets(docs)
     assert out.schema == docs.schema and out.count() == docs.count()
@@ -130,6 +210,20 @@ def check_packs(rows, ids_of, longest):
             at += r.length
         assert at <= longest and at & (at - 1) == 0 and at == rs[0].context
     assert set(by_doc) == set(ids_of)
+    check_step_groups(rows)
+
+
+def check_step_groups(rows, step=1 << 16):
+    """Groups have sequences of one context size, step tokens at most, and totals that differ by one sequence at most."""
+    of = {r.sequence_id: (r.context, r.step_group) for r in rows}
+    assert len({(r.sequence_id, r.context, r.step_group) for r in rows}) == len(of)
+    totals = {}
+    for context, group in of.values():
+        totals[group, context] = totals.get((group, context), 0) + context
+    assert len({g for g, _ in totals}) == len(totals) and max(totals.values(), default=0) <= step
+    for context in {c for _, c in totals}:
+        own = [n for (_, c), n in totals.items() if c == context]
+        assert max(own) - min(own) <= context and len(own) == -(-sum(own) // (step // context * context))
 
 
 def test_packing(spark, docs):
@@ -143,6 +237,21 @@ def test_packing(spark, docs):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_tokenizers_that_change_texts_get_them_whole(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(packing.default_tokenizer()) as f:
+        made = json.load(f)
+    made["normalizer"] = {"type": "Lowercase"}
+    path = str(tmp_path / "own.json")
+    with open(path, "w") as f:
+        json.dump(made, f)
+    text = "One  Two\nTHREE  "
+    assert packing.Encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids != packing.Encoder(packing.default_tokenizer())(text).tolist()
+
+
 def test_packing_on_tables(spark):
     from tokenizers import Tokenizer
 
@@ -151,6 +260,7 @@ def test_packing_on_tables(spark):
     ids = {r.doc_id: [*tk.encode(r.text, add_special_tokens=False).ids, 1] for r in d.collect()}
     rows = packing.pack(d, with_ids=True).collect()
     check_packs(rows, ids, 2048)
+    check_step_groups(packing.pack(d.repartition(5), step_tokens=5000).collect(), 5000)
     assert all(list(r.ids) == ids[r.doc_id][r.start: r.start + r.length] for r in rows)
 
 
