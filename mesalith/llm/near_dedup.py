@@ -193,6 +193,18 @@ def _blocks(torn: DataFrame) -> DataFrame:
     return one.unionByName(spread.select("key", "at.salt", "at.part", "num", "comp", "at.ask"))
 
 
+def _visits(large: DataFrame) -> DataFrame:
+    """(component, p, q, num, items, ask): each two blocks of a group, where one has members outside the group's largest part; these ask. Two blocks are what a task gets at most."""
+    large = written(large)
+    most = large.groupBy("component", "part").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("part", "n").alias("most"))
+    marked = large.join(most, "component").withColumn("ask", F.col("part") != F.col("most")).drop("part", "most")
+    torn = written(marked.where("ask").select("component", F.col("block").alias("to")).distinct())
+    fixed = marked.where("not ask").join(torn, "component")
+    free = marked.where("ask").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return (fixed.unionByName(free.select(*fixed.columns)).where("block <> to")
+            .select("component", F.least("block", "to").alias("p"), F.greatest("block", "to").alias("q"), "num", "items", "ask"))
+
+
 def join_all(comp: np.ndarray, ask: np.ndarray, linked_to, first: int | None = None) -> list[tuple[int, int]]:
     """Links that join all that is connected by pairs with one side (at least) asked for; comp is changed on the way.
 
@@ -283,8 +295,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each is compared with its bucket's first node, and where a bucket is not one group by then, those outside its
     largest group with all of it; a bucket of s nodes still gives less than 2 s pairs, as only those that join groups
     are told. Pairs whose estimate allows the threshold make groups, and within a group links are counted on full sets, each document
-    against all. A group of more than BLOCK documents is dealt over blocks by a hash; documents that are not in its
-    largest component then visit all blocks. Candidates come from hashing: at the threshold about 3 pairs in 1,000,000
+    against all. A group of more than BLOCK documents is dealt over blocks by a hash; each two blocks then meet, if one
+    has documents that are not in the group's largest component. Candidates come from hashing: at the threshold about 3 pairs in 1,000,000
     share no band key.
     """
     out = _rows_in_groups(docs, id_col, text_col, shingle, percent)
@@ -321,11 +333,8 @@ def _rows_in_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int, p
     links = written(items.withColumn("ask", F.lit(True)).groupBy("component", "block").applyInArrow(_confirm(percent), "a long, b long"))
     joined = components(links)
     large = items.where("blocks > 1").join(joined.select(F.col("node").alias("num"), F.col("component").alias("part")), "num", "left").withColumn("part", F.coalesce("part", "num"))
-    most = large.groupBy("component", "part").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("part", "n").alias("most"))
-    outside = large.join(most, "component").where("part <> most").select("num", "items", "component", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    visits = outside.where("block <> own").select("num", "items", "component", "block", F.lit(True).alias("ask")).unionByName(large.select("num", "items", "component", "block", F.lit(False).alias("ask")))
     if not large.isEmpty():
-        across = written(visits.groupBy("component", "block").applyInArrow(_confirm(percent), "a long, b long"))
+        across = written(_visits(large).groupBy("component", "p", "q").applyInArrow(_confirm(percent), "a long, b long"))
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
     placed = nodes.select("num", "node", "least", "best", "copies").join(joined.select(F.col("node").alias("num"), "component"), "num", "left").select("node", "least", "best", "copies", F.coalesce("component", "num").alias("comp"))
     grouped = placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("best").alias("chosen"), F.sum("copies").alias("size")).where("size > 1")

@@ -146,6 +146,26 @@ def test_empty(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("block,bucket", [(4096, 4096), (7, 7)])
+def test_chains_of_windows(spark, monkeypatch, block, bucket):
+    """Families of overlapping windows, each with words of its own, in random order: one component each, however many steps it takes."""
+    monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "BUCKET", bucket)
+    rng = random.Random(9)
+    texts = []
+    for f in range(20):
+        words = [f"f{f}w{i}" for i in range(420)]
+        texts += [" ".join(w for i, w in enumerate(words[:100]) if i != rng.randrange(2, 98)) for _ in range(8)]
+        starts = list(range(8, 300, 8))
+        rng.shuffle(starts)
+        texts += [" ".join(words[at: at + 100]) for at in starts if rng.random() < 0.95]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "doc_id long, text string, gone int, gone_th int, own_th int").repartition(3)
+    assert sorted(tuple(r) for r in nd.near_duplicates(docs, shingle=2).collect()) == sorted(brute(rows, 2))
+    assert nd.keep_one(docs, shingle=2).columns == docs.columns
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 3000, dtype=np.uint64)
