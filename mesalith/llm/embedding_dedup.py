@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mesalith.llm._common import components, join_back, small, written
@@ -379,9 +379,14 @@ def _true_links(rows: DataFrame, queries: pa.Table, least: float) -> np.ndarray:
     return out
 
 
+def _drawn(col: str, most: int, n: int) -> Column:
+    """About `most` of n rows, by a hash."""
+    return F.pmod(F.xxhash64(F.col(col), F.lit("audit")), F.lit(1 << 40)) < int((1 << 40) * min(1.0, most / max(1, n)))
+
+
 def _audit(nodes: DataFrame, found: DataFrame, least: float) -> float:
-    """Share of the links of AUDIT nodes, drawn by a hash, that were found."""
-    some = nodes.orderBy(F.xxhash64("num", F.lit("audit"))).limit(AUDIT)
+    """Share of the links of about AUDIT nodes, drawn by a hash, that were found."""
+    some = nodes.where(_drawn("num", AUDIT, nodes.count()))
     drawn = some.join(found.select("kind", "h", "g", "links"), ["kind", "h", "g"], "left").select("kind", "v", F.coalesce("links", F.lit(0)).alias("links")).toArrow()
     return _share(_true_links(nodes, drawn, least) - 1, drawn["links"].to_numpy()) if drawn.num_rows else 1.0
 
@@ -394,7 +399,7 @@ def audit_recall(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id",
     """Share of links found, of those of a bounded sample of query vectors against all vectors. Of rows that repeat an id, the most links found are compared."""
     rows = _keyed(vectors, id_col, vector_col, label_col).where("kind is not null").select("id", "kind", "v", F.lit(1).alias("copies"))
     got = result.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max("n_links").alias("links"))
-    drawn = rows.orderBy(F.xxhash64("id", F.lit("audit"))).limit(queries).join(got, "id").toArrow()
+    drawn = rows.where(_drawn("id", queries, rows.count())).join(got, "id").toArrow()
     return _share(_true_links(rows, drawn, least) - 1, drawn["links"].to_numpy()) if drawn.num_rows else 1.0
 
 
