@@ -17,18 +17,34 @@ def from_raster(points: DataFrame) -> DataFrame:
     return points.where("z is not null").select("x", "y", "z")
 
 
-def axis(points: DataFrame, name: str) -> DataFrame:
-    """(v, k): distinct coordinates with their rank, x rising, y falling. Ranks are of distinct values only, which are few next to the points."""
+#: Ranges of about equal size that distinct coordinates are ordered in.
+RANGES = 64
+
+
+def _ranged(points: DataFrame, name: str) -> DataFrame:
+    """(v, part): distinct coordinates and the range of values they fall in; the cuts are one row."""
     v = points.select(F.col(name).alias("v")).where("v is not null").distinct()
-    order = F.col("v").desc() if name == "y" else F.col("v").asc()
-    return v.withColumn("k", F.row_number().over(Window.orderBy(order)) - 1)
+    cuts = v.agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)]).alias("cuts"))
+    return v.crossJoin(F.broadcast(cuts)).select("v", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"))  # one row
+
+
+def axis(points: DataFrame, name: str) -> DataFrame:
+    """(v, k): distinct coordinates with their rank, x rising, y falling. They are ranked within ranges, whose counts give the first rank of each; no task orders them all."""
+    v = _ranged(points, name)
+    down = name == "y"
+    counts = v.groupBy("part").agg(F.count("*").alias("n"))
+    order = lambda c: F.col(c).desc() if down else F.col(c).asc()
+    before = counts.select("part", (F.sum("n").over(Window.orderBy(order("part"))) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(order("v"))) - 1
+    return v.join(F.broadcast(before), "part").select("v", (F.col("before") + rank).cast("int").alias("k"))  # a row for each range
 
 
 def axis_gap(points: DataFrame, name: str) -> DataFrame:
-    """(gap, low, high): smallest non-zero difference of neighbouring coordinates (null if there is one only), and the ends."""
-    v = points.select(F.col(name).alias("v")).where("v is not null").distinct()
-    steps = v.withColumn("d", F.col("v") - F.lag("v").over(Window.orderBy("v")))
-    return steps.agg(F.min(F.when(F.col("d") > 0, F.col("d"))).alias("gap"), F.min("v").alias("low"), F.max("v").alias("high"))
+    """(gap, low, high): smallest non-zero difference of neighbouring coordinates (null if there is one only), and the ends. Neighbours are found within ranges, then between the ends of ranges."""
+    v = _ranged(points, name).withColumn("d", F.col("v") - F.lag("v").over(Window.partitionBy("part").orderBy("v")))
+    parts = v.groupBy("part").agg(F.min(F.when(F.col("d") > 0, F.col("d"))).alias("d"), F.min("v").alias("low"), F.max("v").alias("high"))
+    steps = parts.withColumn("e", F.col("low") - F.lag("high").over(Window.orderBy("part")))
+    return steps.agg(F.min(F.least("d", F.when(F.col("e") > 0, F.col("e")))).alias("gap"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def infer_grid(points: DataFrame, most_cells: int = 1 << 40) -> Meta:

@@ -74,7 +74,10 @@ def _(spark, sf):
     return files.geojson_features(*unit_mesh(spark, sf)).where("kind = 0").select("id", "feature")
 
 
-@query("geojson_linestrings")
+PLACE = " || ',' || ".join(f"'[' || {c}.x || '.0,' || {c}.y || '.0,' || {c}.z || '.0]'" for c in "abca")
+
+
+@query("geojson_linestrings", f"WITH {UNIT} SELECT fid AS id, '{POINT.replace('Point', 'LineString')}' || {PLACE} || ']}},\"properties\":{{\"id\":' || fid || '}}}}' AS feature FROM df JOIN uv a ON v0 = a.vid JOIN uv b ON v1 = b.vid JOIN uv c ON v2 = c.vid")
 def _(spark, sf):
     return files.geojson_features(*unit_mesh(spark, sf)).where("kind = 1").select("id", "feature")
 
@@ -86,6 +89,29 @@ def _(spark, sf):
     return rounded(longs(files.read_asc(spark, path)[0], "row", "col"), "z")
 
 
+@query("geotiff_scan", f"WITH {DEM} SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(z, 6) AS z FROM dem")
+def _(spark, sf):
+    """A GeoTIFF for each hundred rows, read back; rows come from the rasters' positions."""
+    import pandas as pd
+
+    from mesalith.functions.grid import Meta
+    from mesalith.operators import kernels
+    from mesalith.sources import binary
+
+    cells, m = views.dem(spark, sf)
+
+    def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        z, first, _ = kernels.as_grid(pdf)
+        own = Meta(z.shape[1], z.shape[0], m.pos_x, m.pos_y + (m.height - first - z.shape[0]) * m.cell_size, m.cell_size, 3857)
+        return pd.DataFrame({"path": [str(key[0])], "content": [binary.encode_tiff(z, own)]})
+
+    files_ = cells.withColumn("strip", F.expr("row div 100")).groupBy("strip").applyInPandas(encode, "path string, content binary")
+    back, metas = binary.decode_rasters(files_, 3857)
+    top = F.round(F.lit(m.height) - (F.col("pos_y") - m.pos_y) / m.cell_size - F.col("height"))
+    joined = back.join(metas.select("raster_id", top.cast("long").alias("top")), "raster_id")
+    return rounded(joined.select((F.col("row") + F.col("top")).alias("row"), F.col("col").cast("long").alias("col"), "z"), "z")
+
+
 @query("xyz_scan", f"WITH {PTS} SELECT round(x, 3) AS x, round(y, 3) AS y, round(z, 6) AS z FROM pts WHERE z IS NOT NULL AND z <= 10000")
 def _(spark, sf):
     path = scratch(spark, "xyz")

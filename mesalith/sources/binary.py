@@ -145,8 +145,8 @@ _KINDS = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 16): "i2", (2, 32): "i
 _TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 
 
-def decode_tiff(data: bytes, check_srid: int | None = None) -> tuple[np.ndarray, Meta, float | None]:
-    """First band (float, row 0 on top), Meta and no-data value of a TIFF in strips or tiles, plain or deflated.
+def decode_tiff(data: bytes, check_srid: int | None = None, header: bool = False) -> tuple[np.ndarray | None, Meta, float | None]:
+    """First band (float, row 0 on top; header: none), Meta and no-data value of a TIFF in strips or tiles, plain or deflated.
 
     Pixels must be square; with check_srid, the file's projected system must be that one.
     """
@@ -165,6 +165,19 @@ def decode_tiff(data: bytes, check_srid: int | None = None) -> tuple[np.ndarray,
             (spot,) = struct.unpack_from(end + "I", data, spot)
         tags[tag] = struct.unpack_from(end + code, data, spot)
     w, h = tags[_WIDTH][0], tags[_HEIGHT][0]
+    sx, sy = tags[_SCALE][:2]
+    if abs(abs(sx) - abs(sy)) > 1e-9 * abs(sx):
+        raise ValueError("pixels aren't square")
+    col, row, _, x, y, _ = tags[_TIE][:6]
+    keys = tags.get(_GEO_KEYS, ())
+    srid = next((keys[i + 3] for i in range(4, len(keys), 4) if keys[i] == 3072), 0)
+    if check_srid and srid != check_srid:
+        raise ValueError(f"reference system {srid}, not {check_srid}")
+    ndv = float(tags[_NO_DATA][0].split(b"\0")[0]) if _NO_DATA in tags else None
+    return None if header else _first_band(data, tags, end, w, h), Meta(w, h, x - col * sx, y + row * sx - h * sx, sx, srid), ndv
+
+
+def _first_band(data: bytes, tags: dict, end: str, w: int, h: int) -> np.ndarray:
     bands = tags.get(_SAMPLES, (1,))[0]
     kind = np.dtype(end + _KINDS[tags.get(_FORMAT, (1,))[0], tags[_BITS][0]])
     tiled = _TILE_OFFSETS in tags
@@ -185,16 +198,7 @@ def decode_tiff(data: bytes, check_srid: int | None = None) -> tuple[np.ndarray,
             block = np.cumsum(block, 1, dtype=kind.newbyteorder("="))
         r, c = k // across * bh, k % across * bw
         z[r: r + rows, c: c + bw] = block[: h - r, : w - c, 0]
-    sx, sy = tags[_SCALE][:2]
-    if abs(abs(sx) - abs(sy)) > 1e-9 * abs(sx):
-        raise ValueError("pixels aren't square")
-    col, row, _, x, y, _ = tags[_TIE][:6]
-    keys = tags.get(_GEO_KEYS, ())
-    srid = next((keys[i + 3] for i in range(4, len(keys), 4) if keys[i] == 3072), 0)
-    if check_srid and srid != check_srid:
-        raise ValueError(f"reference system {srid}, not {check_srid}")
-    ndv = float(tags[_NO_DATA][0].split(b"\0")[0]) if _NO_DATA in tags else None
-    return z, Meta(w, h, x - col * sx, y + row * sx - h * sx, sx, srid), ndv
+    return z
 
 
 def encode_tiff(z: np.ndarray, m: Meta, ndv: float | None = None, kind: str = "f8", deflate: bool = True, strip_rows: int = 64) -> bytes:
@@ -227,7 +231,11 @@ def encode_tiff(z: np.ndarray, m: Meta, ndv: float | None = None, kind: str = "f
 
 def read_geotiff(spark: SparkSession, path: str, check_srid: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Cells (raster_id, row, col, z) and metadata (raster_id, width, height, pos_x, pos_y, cell_size, srid) of the files of a path; a file is decoded in one task and sent on row by row."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return decode_rasters(spark.read.format("binaryFile").load(path).select("path", "content"), check_srid)
+
+
+def decode_rasters(files: DataFrame, check_srid: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same of files (path, content) that are read already; metadata needs their headers only."""
 
     def cells(it):
         for pdf in it:
@@ -239,7 +247,7 @@ def read_geotiff(spark: SparkSession, path: str, check_srid: int | None = None)
 
     def metas(it):
         for pdf in it:
-            rows = [(r.path, *(getattr(m, k) for k in ("width", "height", "pos_x", "pos_y", "cell_size", "srid"))) for r in pdf.itertuples() for _, m, _ in [decode_tiff(bytes(r.content), check_srid)]]
+            rows = [(r.path, *(getattr(m, k) for k in ("width", "height", "pos_x", "pos_y", "cell_size", "srid"))) for r in pdf.itertuples() for _, m, _ in [decode_tiff(bytes(r.content), check_srid, header=True)]]
             yield pd.DataFrame(rows, columns=["raster_id", "width", "height", "pos_x", "pos_y", "cell_size", "srid"])
 
     out = files.mapInPandas(cells, "raster_id string, row int, col int, z double")

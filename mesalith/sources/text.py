@@ -10,10 +10,17 @@ from mesalith.functions.grid import Meta
 from mesalith.operators import mesh, quality
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(n, line): lines of one file with their numbers from 0."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(block, at, line): lines of one file, which is read in splits; within a split (block: its first byte) `at` rises with the line."""
+    return spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
+def _ranked(lines: DataFrame, name: str) -> DataFrame:
+    """lines with their number from 0 in file order: ranks within a split, and counts of the splits before it (a row each)."""
+    counts = lines.groupBy("block").agg(F.count("*").alias("n"))
+    before = counts.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("block").orderBy("at")) - 1
+    return lines.join(before, "block").withColumn(name, (F.col("before") + rank).cast("long")).drop("before")
 
 
 def numbers(line: Column) -> Column:
@@ -28,7 +35,7 @@ ASC_HEADER = ("ncols", "nrows", "xllcorner", "yllcorner", "xllcenter", "yllcente
 
 def read_asc(spark: SparkSession, path: str) -> tuple[DataFrame, Meta]:
     """Cells (row, col, z) and Meta of an ASCII grid. The header is read by name, in any order; the lines after it are rows from the top."""
-    lines = _numbered(spark, path).withColumn("t", text.tokens(F.col("line"))).where(F.size("t") > 0)
+    lines = _lines(spark, path).withColumn("t", text.tokens(F.col("line"))).where(F.size("t") > 0)
     named = F.lower(F.element_at("t", 1)).isin(*ASC_HEADER) & (F.size("t") == 2)
     head = {r.k: float(r.v) for r in lines.where(named).limit(len(ASC_HEADER)).select(F.lower(F.element_at("t", 1)).alias("k"), F.element_at("t", 2).alias("v")).collect()}
     if not {"ncols", "nrows", "cellsize"} <= set(head):
@@ -37,7 +44,7 @@ def read_asc(spark: SparkSession, path: str) -> tuple[DataFrame, Meta]:
     x = head.get("xllcorner", head.get("xllcenter", 0.0) - (cell / 2 if "xllcenter" in head else 0.0))
     y = head.get("yllcorner", head.get("yllcenter", 0.0) - (cell / 2 if "yllcenter" in head else 0.0))
     m = Meta(int(head["ncols"]), int(head["nrows"]), x, y, cell)
-    body = lines.where(~named).withColumn("row", (F.row_number().over(Window.orderBy("n")) - 1).cast("int"))
+    body = _ranked(lines.where(~named), "n").withColumn("row", F.col("n").cast("int"))
     cells = body.where(F.col("row") < m.height).select("row", F.posexplode(F.slice("t", 1, m.width)).alias("col", "v"))
     return cells.select("row", "col", grid.no_data_to_null(F.col("v").try_cast("double"), head.get("nodata_value")).alias("z")), m
 
@@ -66,12 +73,11 @@ def read_xyz(spark: SparkSession, path: str, limit: float = 10000.0) -> DataFram
 
 def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Vertices and faces of an OBJ file: its `v x y z` and `f i j k` lines in order; indices count from 0 here."""
-    t = _numbered(spark, path).select("n", text.tokens(F.col("line")).alias("t"))
-    num = lambda k: F.row_number().over(Window.orderBy("n")).cast("long") - 1
+    t = _lines(spark, path).select("block", "at", text.tokens(F.col("line")).alias("t"))
     at = lambda i, kind: F.get("t", F.lit(i)).try_cast(kind)
-    vertices = t.where("get(t, 0) = 'v'").select(num(0).alias("vid"), *(at(i + 1, "double").alias(c) for i, c in enumerate("xyz")))
+    vertices = _ranked(t.where("get(t, 0) = 'v'"), "vid").select("vid", *(at(i + 1, "double").alias(c) for i, c in enumerate("xyz")))
     index = lambda i: (F.regexp_extract(F.get("t", F.lit(i)), r"^\d+", 0).try_cast("long") - 1).alias(f"v{i - 1}")
-    return vertices, t.where("get(t, 0) = 'f'").select(num(0).alias("fid"), *(index(i) for i in (1, 2, 3)))
+    return vertices, _ranked(t.where("get(t, 0) = 'f'"), "fid").select("fid", *(index(i) for i in (1, 2, 3)))
 
 
 def obj_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -86,13 +92,13 @@ def obj_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Vertices and triangular faces of an OFF file; what follows # and blank lines are left out."""
-    t = _numbered(spark, path).select("n", text.tokens(F.regexp_replace("line", "#.*", "")).alias("t")).where("size(t) > 0")
-    t = t.withColumn("k", F.row_number().over(Window.orderBy("n")) - 1)
+    t = _lines(spark, path).select("block", "at", text.tokens(F.regexp_replace("line", "#.*", "")).alias("t")).where("size(t) > 0")
+    t = _ranked(t, "k")
     head = t.where("k = 1").select(F.get("t", F.lit(0)).cast("long").alias("nv")).first()
     if head is None or t.where("k = 0").first().t[0] != "OFF":
         raise ValueError(f"no OFF file: {path}")
     at = lambda i, kind: F.get("t", F.lit(i)).try_cast(kind)
-    body = t.where("k > 1").withColumn("k", F.col("k").cast("long") - 2)
+    body = t.where("k > 1").withColumn("k", F.col("k") - 2)
     vertices = body.where(F.col("k") < head.nv).select(F.col("k").alias("vid"), *(at(i, "double").alias(c) for i, c in enumerate("xyz")))
     return vertices, body.where((F.col("k") >= head.nv) & (F.get("t", F.lit(0)) == "3")).select((F.col("k") - head.nv).alias("fid"), *(at(i + 1, "long").alias(f"v{i}") for i in range(3)))
 
