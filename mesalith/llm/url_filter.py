@@ -30,7 +30,8 @@ def _reversed_host(labels: Column) -> Column:
 
 def rule_table(spark, rules=RULES) -> DataFrame:
     """(rule, verdict, key): key is the reversed host, END and the path; a url's key at that host level starts with it."""
-    df = spark.createDataFrame([(r, v) for r, v in dict(rules).items()] or [], "rule string, verdict string")
+    rows = [F.struct(F.lit(r).alias("rule"), F.lit(v).alias("verdict")) for r, v in dict(rules).items()]
+    df = spark.range(0, 1, 1, 1).select(F.explode(F.array(*rows).cast("array<struct<rule:string,verdict:string>>")).alias("r")).select("r.*")
     at = F.instr("rule", "/")
     host = F.when(at > 0, F.expr("substring(rule, 1, instr(rule, '/') - 1)")).otherwise(F.col("rule"))
     path = F.when(at > 0, F.expr("substring(rule, instr(rule, '/'))")).otherwise(F.lit(""))
