@@ -1,7 +1,5 @@
 """The pipeline's stages, each against brute force on its own input."""
 
-
-
 import corpus_pipeline as cp
 from mesalith.llm import packing, secrets, toxicity
 from tests.llm import test_near_dedup as tn
@@ -66,10 +64,41 @@ def test_run(spark):
     assert cp.run(spark, "/root/testdata/sf0.001").count() > 0
 
 
-def test_odd_documents(spark, tmp_path):
+def test_odd_documents(spark):
     rows = [(1, None, "en", None, 0), (2, "", None, "s", None), (None, "a b c", "en", "s", 5), (3, "x" * 50000, "en", "s", 1), (3, "x" * 50000, "en", "s", 1), (4, "token=abcdefgh123", "de", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for d in (docs, docs.limit(0)):
-        for _, f in cp.STAGES:
-            d = f(spark, d, "/root/testdata/sf0.001")
-        assert d.count() >= 0
+    outs = [docs]
+    for _, f in cp.STAGES:
+        outs.append(cp.written(f(spark, outs[-1], "/root/testdata/sf0.001")))
+    told = lambda d: sorted(((r.doc_id, r.text if r.text is None else r.text[:20]) for r in d.collect()), key=repr)
+    kept = sorted([(1, None), (2, ""), (None, "a b c"), (3, "x" * 20), (3, "x" * 20), (4, "token=abcdefgh123")], key=repr)
+    assert told(outs[1]) == kept  # none is toxic
+    assert told(outs[2]) == kept  # rows that repeat an id and text are treated alike: none of their lines stands earlier
+    assert told(outs[3]) == kept  # and so both stay
+    assert told(outs[4]) == sorted([*[r for r in kept if r[0] != 4], (4, "[SECRET]")], key=repr)
+    packed = outs[5].collect()
+    assert sorted((r.doc_id for r in packed if r.start == 0), key=repr) == sorted((i for i, _ in kept), key=repr)
+    assert all(r.length == r.doc_tokens == 1 for r in packed if r.doc_id in (1, 2))
+    empty = docs.limit(0)
+    for _, f in cp.STAGES:
+        empty = f(spark, empty, "/root/testdata/sf0.001")
+    assert empty.count() == 0
+
+
+def test_sql(spark):
+    """The operators' SQL on the small tables, as the driver runs it."""
+    import duckdb
+
+    import __spark_entry__ as e
+    from tests.conftest import SF
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = {k: v for k, v in e.oracle_sql().items() if k.startswith("op") and k[2].isdigit()}
+    assert set(found) == {"op4_exact_dedup", "op10_url_filter"}
+    for name, sql in found.items():
+        want = con.execute(sql)
+        columns = [c[0] for c in want.description]
+        got = [tuple(r[c] for c in columns) for r in e.queries()[name](spark, SF).collect()]
+        assert sorted(got, key=repr) == sorted(want.fetchall(), key=repr)
