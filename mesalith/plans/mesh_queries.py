@@ -270,8 +270,12 @@ def chipped(spark, sf, filled=False):
     return cells.withColumns({"chip_row": F.expr(f"cast(row div {CHIP} as int)"), "chip_col": F.expr(f"cast(col div {CHIP} as int)")}), m
 
 
-@query("terra_zero_error_vertices", f"""WITH {DEM}, c AS (SELECT row // {CHIP} AS chip_row, col // {CHIP} AS chip_col, row % {CHIP} AS r, col % {CHIP} AS c, least(h - row // {CHIP} * {CHIP}, {CHIP}) - 1 AS rh, least(100 - col // {CHIP} * {CHIP}, {CHIP}) - 1 AS cw, z FROM dem, hh),
-k AS (SELECT * FROM c WHERE z IS NOT NULL OR ((r = 0 OR r = rh) AND (c = 0 OR c = cw)))
+#: Chips' cells as SQL: k has those that a mesh without error uses, valid ones and corners.
+KEPT = f"""{DEM}, c AS (SELECT row // {CHIP} AS chip_row, col // {CHIP} AS chip_col, row % {CHIP} AS r, col % {CHIP} AS c, least(h - row // {CHIP} * {CHIP}, {CHIP}) - 1 AS rh, least(100 - col // {CHIP} * {CHIP}, {CHIP}) - 1 AS cw, z FROM dem, hh),
+k AS (SELECT * FROM c WHERE z IS NOT NULL OR ((r = 0 OR r = rh) AND (c = 0 OR c = cw)))"""
+
+
+@query("terra_zero_error_vertices", f"""WITH {KEPT}
 SELECT CAST(chip_row AS BIGINT) AS chip_row, CAST(chip_col AS BIGINT) AS chip_col, count(*) AS n_vertices, 2 * count(*) - 2 - count(*) FILTER (r = 0 OR r = rh OR c = 0 OR c = cw) AS n_faces FROM k GROUP BY ALL""")
 def _(spark, sf):
     cells, m = chipped(spark, sf)
@@ -304,9 +308,14 @@ for method in ("terra", "zemlya"):
         return bound(spark, sf, method, 40.0)
 
 
-@query("ring_fill")
+# The first ring is the eight cells around, each with the weighted mean of the nine around itself, on the raster or not: wider rings serve cells with none of these 25 valid.
+@query("ring_fill", f"""WITH {DEM}, o AS (SELECT * FROM (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j)),
+p AS (SELECT row, col, i, j, row + i AS pr, col + j AS pc FROM dem, o WHERE z IS NULL AND (i <> 0 OR j <> 0)),
+n AS (SELECT p.row, p.col, p.i, p.j, abs(o.i) + abs(o.j) AS far, avg(d.z) AS z FROM p, o, dem d WHERE d.row = pr + o.i AND d.col = pc + o.j AND d.z IS NOT NULL GROUP BY ALL),
+s AS (SELECT row, col, i, j, sum((3 - far) * z) / sum(3 - far) AS z FROM n GROUP BY ALL)
+SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(avg(s.z), 9) AS z FROM dem LEFT JOIN s USING (row, col) WHERE dem.z IS NULL GROUP BY row, col""")
 def _(spark, sf):
-    return kernels.ring_fill(*views.dem(spark, sf))
+    return rounded(longs(kernels.ring_fill(*views.dem(spark, sf)), "row", "col"), "z", digits=9)  # halves of the last digit occur at 6
 
 
 @query("delaunay_grid_faces", f"WITH {DEM}, b AS (SELECT row // 10 AS br, col // 20 AS bc, max(row) - min(row) AS dh, max(col) - min(col) AS dw FROM dem GROUP BY ALL) SELECT CAST(br AS BIGINT) AS br, CAST(bc AS BIGINT) AS bc, CAST(2 * dh * dw AS BIGINT) AS n_faces FROM b WHERE dh * dw > 0")
@@ -332,12 +341,22 @@ def _(spark, sf):
     return rounded(cells.groupBy("chip_row", "chip_col").applyInPandas(run, "chip_row long, chip_col long, row long, col long, z double"), "z")
 
 
-@query("raster_from_points_terra")
-def _(spark, sf):
+def points_meshed(spark, sf, max_error):
+    """Vertices of each chip of the raster that the points make."""
     p = views.points(spark, sf)
     cells, m = points.to_raster(p, points.infer_grid(p))
     cells = cells.withColumns({"chip_row": F.expr(f"cast(row div {CHIP} as int)"), "chip_col": F.expr(f"cast(col div {CHIP} as int)")})
-    return kernels.mesh_groups(cells, m, ("chip_row", "chip_col"), "terra", 60.0)[0].groupBy("chip_row", "chip_col").agg(F.count("*").alias("n_vertices"))
+    return kernels.mesh_groups(cells, m, ("chip_row", "chip_col"), "terra", max_error)[0].groupBy("chip_row", "chip_col").agg(F.count("*").alias("n_vertices"))
+
+
+@query("raster_from_points_terra")
+def _(spark, sf):
+    return points_meshed(spark, sf, 60.0)
+
+
+@query("points_terra_exact", f"WITH {KEPT} SELECT CAST(chip_row AS BIGINT) AS chip_row, CAST(chip_col AS BIGINT) AS chip_col, count(*) AS n_vertices FROM k GROUP BY ALL")
+def _(spark, sf):
+    return longs(points_meshed(spark, sf, 0.0), "chip_row", "chip_col")
 
 
 # Errors ---------------------------------------------------------------------------------------------------------------
@@ -373,16 +392,30 @@ def _(spark, sf):
     return rounded(rounded(quality.rms_error(*drawn(spark, sf)), "rms"), "max_error", digits=5)
 
 
-@query("rasterise_halfpixel")
+# The mesh ends at the centres of the outermost cells, so rounding decides whether these are sampled: the same sums as the operator's.
+@query("rasterise_halfpixel", f"""WITH {DRAWN}, e AS (SELECT ((-13636677.018e0 + 0.5e0 * 3.91694e0) + 13636677.018e0) / 3.91694e0 - 0.5e0 AS x0, ((-13636677.018e0 + 99.5e0 * 3.91694e0) + 13636677.018e0) / 3.91694e0 - 0.5e0 AS x1,
+h - ((4543905.659e0 + (h - 0.5e0) * 3.91694e0) - 4543905.659e0) / 3.91694e0 - 0.5e0 AS y0, h - ((4543905.659e0 + 0.5e0 * 3.91694e0) - 4543905.659e0) / 3.91694e0 - 0.5e0 AS y1 FROM hh)
+SELECT CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, round(m, 5) + 0e0 AS z FROM drawn, e WHERE col BETWEEN x0 AND x1 AND row BETWEEN y0 AND y1""")
 def _(spark, sf):
     cells, m = views.dem(spark, sf, filled=True)
-    return quality.rasterise(mesh.compose(*dense.dense_mesh(cells, m, 3)), m, half=True)
+    return rounded(longs(quality.rasterise(mesh.compose(*dense.dense_mesh(cells, m, 3)), m, half=True), "row", "col"), "z", digits=5).withColumn("z", F.col("z") + 0.0)
+
+
+# A corner is snapped to one of the smaller cells around its place: lines of squares are as wide as rounding makes them.
+FINE = "(3.91694e0 / 2)"
 
 
-@query("oversample_downsample")
+@query("oversample_downsample", f"""WITH {DEM}, mc AS (SELECT col AS c0, CAST(trunc(0.5e0 + ((-13636677.018e0 + (col + 0.5e0) * 3.91694e0) + 13636677.018e0 - 0.5e0 * {FINE}) / {FINE}) AS INTEGER) AS p0 FROM demz WHERE row = 0 AND (col % 3 = 0 OR col = 99)),
+mr AS (SELECT row AS r0, 2 * h - CAST(trunc(0.5e0 + ((4543905.659e0 + ((h - 1 - row) + 0.5e0) * 3.91694e0) - 4543905.659e0 - 0.5e0 * {FINE}) / {FINE}) AS INTEGER) - 1 AS q0 FROM demz, hh WHERE col = 0 AND (row % 3 = 0 OR row = h - 1)),
+sc AS (SELECT c0, p0, lead(c0) OVER (ORDER BY c0) AS c1, lead(p0) OVER (ORDER BY c0) AS p1 FROM mc), sr AS (SELECT r0, q0, lead(r0) OVER (ORDER BY r0) AS r1, lead(q0) OVER (ORDER BY r0) AS q1 FROM mr),
+fc AS (SELECT *, unnest(range(p0, p1 + (c1 = 99)::INTEGER)) AS f FROM sc WHERE c1 IS NOT NULL), fr AS (SELECT *, unnest(range(q0, q1 + (r1 = h - 1)::INTEGER)) AS g FROM sr, hh WHERE r1 IS NOT NULL),
+p AS (SELECT f, g, (f - p0) / (p1 - p0)::DOUBLE AS u, (g - q0) / (q1 - q0)::DOUBLE AS v, ul.z AS ul, ur.z AS ur, ll.z AS ll, lr.z AS lr FROM fc, fr, demz ul, demz ur, demz ll, demz lr
+ WHERE ul.row = r0 AND ul.col = c0 AND ur.row = r0 AND ur.col = c1 AND ll.row = r1 AND ll.col = c0 AND lr.row = r1 AND lr.col = c1),
+d AS (SELECT f, g, CASE WHEN u >= v THEN ul + (ur - ul) * u + (lr - ur) * v ELSE ul + (lr - ll) * u + (ll - ul) * v END AS z FROM p)
+SELECT CAST(g // 2 AS BIGINT) AS row, CAST(f // 2 AS BIGINT) AS col, round(avg(z), 6) + 0e0 AS z FROM d GROUP BY ALL""")
 def _(spark, sf):
     cells, m = views.dem(spark, sf, filled=True)
-    return quality.oversampled(mesh.compose(*dense.dense_mesh(cells, m, 3)), m, 2)[0]
+    return rounded(longs(quality.oversampled(mesh.compose(*dense.dense_mesh(cells, m, 3)), m, 2)[0], "row", "col"), "z").withColumn("z", F.col("z") + 0.0)
 
 
 STEPS = (1, 2, 4, 5)
