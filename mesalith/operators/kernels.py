@@ -276,6 +276,10 @@ def ring_fill(cells: DataFrame, m: Meta, chip: int = 512, halo: int = 64, sample
 # Greedy refinement ----------------------------------------------------------------------------------------------------
 
 
+#: Boxes of up to this many cells are searched cell by cell.
+FEW = 96
+
+
 class GreedyTin:
     """Refines two triangles over a raster: always inserts the cell that is farthest from its triangle's plane.
 
@@ -292,44 +296,68 @@ class GreedyTin:
         self.tin = Triangulation(corners)
         self.height = [float(self.raster[y, x]) for x, y in corners]
         self.version: dict[int, int] = {}
-        self.used = np.zeros((h, w), bool)
+        #: Heights of the cells that are neither used nor without data (else NaN), as an array and as lists.
+        self.free, self.rows = np.full((h, w), np.nan), []
         self.heap: list[tuple] = []
         self.count = 0
 
-    def scan(self, t: int, target: np.ndarray, least: float) -> None:
-        """Push the farthest unused valid cell of a triangle, if it is at least `least` away."""
+    def scan(self, t: int, least: float) -> None:
+        """Push the farthest unused valid cell of a triangle, if it is at least `least` away; of equally far ones the first by row and column."""
         self.version[t] = version = self.version.get(t, 0) + 1
         i, j, k = self.tin.tri[t]
         (ax, ay), (bx, by), (cx, cy) = self.tin.pts[i], self.tin.pts[j], self.tin.pts[k]
         x0, x1, y0, y1 = min(ax, bx, cx), max(ax, bx, cx), min(ay, by, cy), max(ay, by, cy)
-        part = target[y0: y1 + 1, x0: x1 + 1]
-        xs, ys = np.arange(x0, x1 + 1)[None], np.arange(y0, y1 + 1)[:, None]
-        w0, w1 = (bx - ax) * (ys - ay) - (by - ay) * (xs - ax), (cx - bx) * (ys - by) - (cy - by) * (xs - bx)
-        full = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
-        w2 = full - w0 - w1
-        off = np.abs(part - (w1 * self.height[i] + w2 * self.height[j] + w0 * self.height[k]) / full)
-        off = np.where((w0 >= 0) & (w1 >= 0) & (w2 >= 0) & ~self.used[y0: y1 + 1, x0: x1 + 1] & ~np.isnan(part), off, -1.0)
-        best = int(off.argmax())
-        y, x = divmod(best, off.shape[1])
-        if (value := float(off[y, x])) >= least and value >= 0:
+        search = self._farthest_few if (x1 - x0 + 1) * (y1 - y0 + 1) <= FEW else self._farthest
+        value, x, y = search((ax, ay, bx - ax, by - ay, cx - ax, cy - ay), (x0, x1, y0, y1), (self.height[i], self.height[j], self.height[k]))
+        if value >= least and value >= 0:
             self.count += 1
-            heapq.heappush(self.heap, (-value, self.count, t, version, x + x0, y + y0))
+            heapq.heappush(self.heap, (-value, self.count, t, version, x, y))
+
+    def _farthest(self, sides, box, heights) -> tuple[float, int, int]:
+        """(distance, column, row) of the farthest free cell inside; -1 if there is none."""
+        (ax, ay, ux, uy, vx, vy), (x0, x1, y0, y1), (hi, hj, hk) = sides, box, heights
+        part = self.free[y0: y1 + 1, x0: x1 + 1]
+        xs, ys = np.arange(x0 - ax, x1 - ax + 1)[None], np.arange(y0 - ay, y1 - ay + 1)[:, None]
+        w0, w1, full = ux * ys - uy * xs, vy * xs - vx * ys, ux * vy - uy * vx
+        w2 = full - w0 - w1
+        off = np.abs(part - (w1 * hj + w2 * hi + w0 * hk) / full)
+        off[(w0 < 0) | (w1 < 0) | (w2 < 0) | np.isnan(off)] = -1.0
+        y, x = divmod(int(off.argmax()), off.shape[1])
+        return float(off[y, x]), x + x0, y + y0
+
+    def _farthest_few(self, sides, box, heights) -> tuple[float, int, int]:
+        """The same, cell by cell: faster than arrays for boxes of a few cells, of which fine meshes mostly consist."""
+        (ax, ay, ux, uy, vx, vy), (x0, x1, y0, y1), (hi, hj, hk) = sides, box, heights
+        full, best, at_x, at_y = ux * vy - uy * vx, -1.0, x0, y0
+        for y in range(y0, y1 + 1):
+            dy, row = y - ay, self.rows[y]
+            for x in range(x0, x1 + 1):
+                z = row[x]
+                if z == z:  # neither used nor without data
+                    dx = x - ax
+                    w0, w1 = ux * dy - uy * dx, vy * dx - vx * dy
+                    w2 = full - w0 - w1
+                    if w0 >= 0 and w1 >= 0 and w2 >= 0 and (off := abs(z - (w1 * hj + w2 * hi + w0 * hk) / full)) > best:
+                        best, at_x, at_y = off, x, y
+        return best, at_x, at_y
+
+    def _use(self, x: int, y: int) -> None:
+        self.free[y, x] = self.rows[y][x] = math.nan
 
     def refine(self, target: np.ndarray, least: float) -> None:
         """Insert until no valid cell of `target` (NaN: none) is `least` or more away from the surface."""
-        self.heap, self.used[:] = [], False
+        self.heap, self.free, self.rows = [], target.copy(), target.tolist()
         if target is self.raster:
-            for x, y in self.tin.pts:
-                self.used[y, x] = True  # vertices that carry the raster's own value
             for v, (x, y) in enumerate(self.tin.pts):
-                self.used[y, x] = self.height[v] == self.raster[y, x]
+                if self.height[v] == self.raster[y, x]:  # vertices that carry the raster's own value
+                    self._use(x, y)
         for t in range(len(self.tin.tri)):
-            self.scan(t, target, least)
+            self.scan(t, least)
         while self.heap:
             _, _, t, version, x, y = heapq.heappop(self.heap)
             if self.version[t] != version:
                 continue
-            self.used[y, x] = True
+            self._use(x, y)
             self.tin.touched = set()
             v = self.tin.insert((x, y), t)
             if v == len(self.height):
@@ -338,7 +366,7 @@ class GreedyTin:
                 self.height[v] = float(target[y, x])
                 self.tin.touched = self.tin.around(v, t)
             for t in self.tin.touched:
-                self.scan(t, target, least)
+                self.scan(t, least)
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
         """Vertices (column, row, height) in row-major order, and faces that face up where y grows upwards."""
