@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mesalith.functions import geom
-from mesalith.operators import dense, kernels, mesh, points, quality
+from mesalith.operators import dense, kernels, mesh, points, quality, raster
 from mesalith.plans import views
 from mesalith.plans.raster_queries import longs, rounded
 from mesalith.plans.registry import query
@@ -133,7 +133,7 @@ def _(spark, sf):
     return rounded(mesh.duplicate_vertices(broken(spark, sf)[0]), "x", "y")
 
 
-@query("tin_crossing", f"""WITH {mesh_sql(3)}, bad AS (SELECT fid, CASE WHEN fid % 500 = 0 THEN v0 + 5 ELSE v0 END AS v0, v1, v2 FROM df WHERE fid // 2 % 33 < 25), ee AS (SELECT v0 AS p, v1 AS q FROM bad UNION ALL SELECT v1, v2 FROM bad UNION ALL SELECT v2, v0 FROM bad),
+@query("tin_crossing", f"""WITH {mesh_sql(3)}, bad AS (SELECT fid, CASE WHEN fid % 500 <> 0 THEN v0 WHEN fid // 2 % 33 < 25 THEN v0 + 5 ELSE v0 - 5 END AS v0, v1, v2 FROM df), ee AS (SELECT v0 AS p, v1 AS q FROM bad UNION ALL SELECT v1, v2 FROM bad UNION ALL SELECT v2, v0 FROM bad),
 e AS (SELECT DISTINCT least(p, q) AS lo, greatest(p, q) AS hi FROM ee), g AS (SELECT lo, hi, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM e JOIN dv a ON a.vid = lo JOIN dv b ON b.vid = hi),
 s AS (SELECT g.lo AS a_lo, g.hi AS a_hi, r.lo AS b_lo, r.hi AS b_hi, sign((g.qx - g.px) * (r.py - g.py) - (g.qy - g.py) * (r.px - g.px)) AS s1, sign((g.qx - g.px) * (r.qy - g.py) - (g.qy - g.py) * (r.qx - g.px)) AS s2,
  sign((r.qx - r.px) * (g.py - r.py) - (r.qy - r.py) * (g.px - r.px)) AS s3, sign((r.qx - r.px) * (g.qy - r.py) - (r.qy - r.py) * (g.qx - r.px)) AS s4,
@@ -142,7 +142,7 @@ s AS (SELECT g.lo AS a_lo, g.hi AS a_hi, r.lo AS b_lo, r.hi AS b_hi, sign((g.qx
 SELECT a_lo, a_hi, b_lo, b_hi FROM s WHERE CASE WHEN s1 = 0 AND s2 = 0 THEN meet ELSE s1 * s2 <= 0 AND s3 * s4 <= 0 END""")
 def _(spark, sf):
     v, f, m = views.dense_mesh(spark, sf, 3)
-    f = f.where("fid div 2 % 33 < 25").withColumn("v0", F.when(F.col("fid") % 500 == 0, F.col("v0") + 5).otherwise(F.col("v0")))
+    f = f.withColumn("v0", F.expr("CASE WHEN fid % 500 <> 0 THEN v0 WHEN fid div 2 % 33 < 25 THEN v0 + 5 ELSE v0 - 5 END"))  # moved within the row
     return mesh.crossing_edges(v, f, 6 * m.cell_size)
 
 
@@ -428,6 +428,15 @@ def _(spark, sf):
     return longs(runs.select("input_file", "method_name", "param_step", "input_num_points", "num_vertices", "num_faces", (F.col("max_error") < 1e-9).alias("exact")), "param_step", "input_num_points", "num_vertices", "num_faces")
 
 
+@query("sweep_methods", f"""WITH {DEM}, n AS (SELECT CAST(h // 2 * 50 AS BIGINT) AS cells, CAST(2 * (h // 2 - 1) * 49 AS BIGINT) AS faces FROM hh)
+SELECT 'events' AS input_file, method_name, cells AS input_num_points, cells AS num_vertices, faces AS num_faces, true AS exact FROM n, (VALUES ('regular'), ('terra'), ('zemlya')) t(method_name)""")
+def _(spark, sf):
+    """Every method at its exact parameter over the means of blocks: all cells are vertices."""
+    cells, m = raster.downsample(*views.dem(spark, sf, filled=True), 2)
+    runs = quality.sweep(cells, m, "events", [("regular", 1), ("terra", 0.0), ("zemlya", 0.0)], timed=False)
+    return longs(runs.select("input_file", "method_name", "input_num_points", "num_vertices", "num_faces", (F.col("max_error") < 1e-9).alias("exact")), "input_num_points", "num_vertices", "num_faces")
+
+
 @query("stats_row", f"""WITH {drawn_sql(2)} SELECT 'events' AS input_file, 'regular' AS method_name, any_value(h * 100)::BIGINT AS input_num_points, 100::BIGINT AS input_width, any_value(h)::BIGINT AS input_height, NULL::DOUBLE AS param_max_error, NULL::DOUBLE AS param_threshold, 2::BIGINT AS param_step,
 round(avg(z - m), 6) AS mean_error, round(stddev_pop(z - m), 6) AS std_dev_error, round(max(abs(z - m)), 5) AS max_error, any_value(51 * (h // 2 + 1))::BIGINT AS num_vertices, any_value(2 * 50 * (h // 2))::BIGINT AS num_faces FROM drawn WHERE row BETWEEN 2 AND h - 3 AND col BETWEEN 2 AND 97""")
 def _(spark, sf):
