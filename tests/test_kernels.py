@@ -104,3 +104,17 @@ def test_ring_fill_beyond_the_halo(spark, samples):
     want = {(r, c): k.nearest_average(z, r, c, samples) for r, c in np.argwhere(np.isnan(z)).tolist()}
     assert got == want
     assert {r.z for r in k.ring_fill(cells.withColumn("z", k.F.lit(None).cast("double")), Meta(26, 20), 8, 2).collect()} == {None}
+
+
+@pytest.mark.parametrize("method", ["terra", "zemlya"])
+def test_search_by_cells_or_by_arrays(monkeypatch, method):
+    """Both ways of searching a triangle's cells find the same one, equally far ones and cells without data included."""
+    rng = np.random.default_rng(4)
+    for z in (rng.integers(0, 4, (23, 31)).astype(float), rng.normal(0, 5, (17, 18))):
+        z[rng.random(z.shape) < 0.1] = np.nan
+        made = []
+        for few in (0, 1 << 20):
+            monkeypatch.setattr(k, "FEW", few)
+            made.append(k.METHODS[method](z, 1.0))
+        for a, b in zip(*made, strict=True):
+            assert np.array_equal(a, b)
