@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mesalith.functions.grid import Meta
@@ -228,8 +228,8 @@ def as_grid(pdf: pd.DataFrame) -> tuple[np.ndarray, int, int]:
     return z, r0, c0
 
 
-def ring_fill(cells: DataFrame, m: Meta, chip: int = 512, halo: int = 64, samples: int = 1) -> DataFrame:
-    """(row, col, z) of the no-data cells, from their nearest valid neighbours; null only where the raster has no valid cell.
+def ring_fill(cells: DataFrame, m: Meta, chip: int = 512, halo: int = 64, samples: int = 1, only: Column | None = None) -> DataFrame:
+    """(row, col, z) of the no-data cells (only: of those it is true for), from their nearest valid neighbours; null only where the raster has no valid cell.
 
     A ring of a radius up to the halo lies within the chip and its halo. Cells that need a wider one are searched for
     again with a halo four times as wide, in their chips only, until none is left or the halo covers the raster.
@@ -256,7 +256,7 @@ def ring_fill(cells: DataFrame, m: Meta, chip: int = 512, halo: int = 64, sample
 
         return run
 
-    found, chosen = None, chips(cells.select("row", "col", "z").withColumn("open", F.lit(True)), m, chip, halo)
+    found, chosen = None, chips(cells.select("row", "col", "z").withColumn("open", F.lit(True) if only is None else only), m, chip, halo)
     while True:
         whole = halo >= max(m.height, m.width)
         told = dealt(chosen, "chip_row", "chip_col").groupBy("chip_row", "chip_col").applyInPandas(fill(halo, whole), "row int, col int, z double, done boolean")
@@ -284,9 +284,10 @@ class GreedyTin:
     """Refines two triangles over a raster: always inserts the cell that is farthest from its triangle's plane.
 
     Candidates wait in a heap with the version of their triangle; one whose triangle changed since is stale.
+    `shared` are the sides (of top, bottom, left, right) where another piece's mesh goes on: see share().
     """
 
-    def __init__(self, z: np.ndarray):
+    def __init__(self, z: np.ndarray, max_error: float = 0.0, shared: tuple[str, ...] = ()):
         self.raster = z.copy()
         h, w = z.shape
         for r, c in ((0, 0), (0, w - 1), (h - 1, w - 1), (h - 1, 0)):
@@ -300,6 +301,20 @@ class GreedyTin:
         self.free, self.rows = np.full((h, w), np.nan), []
         self.heap: list[tuple] = []
         self.count = 0
+        #: Cells of shared sides.
+        self.closed = np.zeros((h, w), bool)
+        for side in shared:
+            self.share(side, max_error)
+
+    def share(self, side: str, max_error: float) -> None:
+        """Insert what a side needs to be nearer than max_error to its cells, and nothing later: from the side's cells alone, so the piece beyond has the same vertices."""
+        h, w = self.raster.shape
+        at = {"top": (0, slice(None)), "bottom": (h - 1, slice(None)), "left": (slice(None), 0), "right": (slice(None), w - 1)}[side]
+        for i in profile(self.raster[at], max_error):
+            x, y = {"top": (i, 0), "bottom": (i, h - 1), "left": (0, i), "right": (w - 1, i)}[side]
+            self.tin.insert((x, y))
+            self.height.append(float(self.raster[y, x]))
+        self.closed[at] = True
 
     def scan(self, t: int, least: float) -> None:
         """Push the farthest unused valid cell of a triangle, if it is at least `least` away; of equally far ones the first by row and column."""
@@ -351,6 +366,8 @@ class GreedyTin:
             for v, (x, y) in enumerate(self.tin.pts):
                 if self.height[v] == self.raster[y, x]:  # vertices that carry the raster's own value
                     self._use(x, y)
+        for y, x in np.argwhere(self.closed).tolist():
+            self._use(x, y)
         for t in range(len(self.tin.tri)):
             self.scan(t, least)
         while self.heap:
@@ -377,9 +394,25 @@ class GreedyTin:
         return p[order], rank[np.array(self.tin.tri)][:, ::-1]
 
 
-def terra(z: np.ndarray, max_error: float) -> tuple[np.ndarray, np.ndarray]:
+def profile(z: np.ndarray, max_error: float) -> list[int]:
+    """Positions between the ends, in rising order, that a line through cells needs to be nearer than max_error to the valid ones; the ends are valid."""
+    found, todo = [], [(0, len(z) - 1)]
+    while todo:
+        i, j = todo.pop()
+        if j - i < 2:
+            continue
+        off = np.abs(z[i + 1: j] - (z[i] + (z[j] - z[i]) * (np.arange(1, j - i) / (j - i))))
+        off[np.isnan(off)] = -1.0
+        k = int(off.argmax())
+        if off[k] >= max(max_error, 0.0):
+            found.append(i + 1 + k)
+            todo += [(i, i + 1 + k), (i + 1 + k, j)]
+    return sorted(found)
+
+
+def terra(z: np.ndarray, max_error: float, shared: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Greedy insertion: afterwards every valid cell is nearer than max_error to the surface."""
-    tin = GreedyTin(z)
+    tin = GreedyTin(z, max_error, shared)
     tin.refine(tin.raster, max_error)
     return tin.result()
 
@@ -400,9 +433,9 @@ def average_pyramid(z: np.ndarray) -> np.ndarray:
     return out
 
 
-def zemlya(z: np.ndarray, max_error: float) -> tuple[np.ndarray, np.ndarray]:
+def zemlya(z: np.ndarray, max_error: float, shared: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Hierarchical greedy insertion: means of large squares first, then of smaller ones, cells of the raster from the fifth level on, all cells at last."""
-    tin = GreedyTin(z)
+    tin = GreedyTin(z, max_error, shared)
     h, w = z.shape
     means, top = average_pyramid(z), math.ceil(math.log2(max(h, w)))
     target = np.full((h, w), np.nan)
@@ -428,6 +461,107 @@ def zemlya(z: np.ndarray, max_error: float) -> tuple[np.ndarray, np.ndarray]:
 METHODS = {"terra": terra, "zemlya": zemlya}
 
 
+# Pieces of one mesh ---------------------------------------------------------------------------------------------------
+
+
+#: Squares along a side of a piece. A raster of more is meshed and drawn piece by piece.
+PIECE = 256
+#: Cells looked at in one go when triangles are drawn.
+DRAWN = 1 << 20
+
+
+def window(z: np.ndarray, r0: int, c0: int, box: tuple[int, int, int, int]) -> np.ndarray:
+    """The part (first row, first column, last row, last column) of an array whose upper left cell is (r0, c0); NaN beyond it."""
+    top, left, bottom, right = box
+    out = np.full((bottom - top + 1, right - left + 1), np.nan)
+    a, b, c, d = max(top, r0), max(left, c0), min(bottom, r0 + z.shape[0] - 1), min(right, c0 + z.shape[1] - 1)
+    if a <= c and b <= d:
+        out[a - top: c - top + 1, b - left: d - left + 1] = z[a - r0: c - r0 + 1, b - c0: d - c0 + 1]
+    return out
+
+
+def draw(out: np.ndarray, t: np.ndarray, shift: float = 0.0) -> None:
+    """Put the heights of triangles (n x 3 corners x column, row, height) at the cells that they cover; a later triangle goes before. shift: where in a cell it is sampled."""
+    h, w = out.shape
+    t = t[~np.isnan(t).any((1, 2))]
+    low = np.maximum(np.ceil(t[:, :, :2].min(1) - shift), 0).astype(np.int64)
+    high = np.minimum(np.floor(t[:, :, :2].max(1) - shift), (w - 1, h - 1)).astype(np.int64)
+    size = np.maximum(high - low + 1, 0)
+    n = size[:, 0] * size[:, 1]
+    t, low, wide, n = t[n > 0], low[n > 0], size[n > 0, 0], n[n > 0]
+    ends = np.cumsum(n)
+    start = 0
+    while start < len(n):
+        before = ends[start] - n[start]
+        stop = max(start + 1, int(np.searchsorted(ends, before + DRAWN, "right")))
+        part = slice(start, stop)
+        k = np.arange(ends[stop - 1] - before) - np.repeat(ends[part] - n[part] - before, n[part])
+        per = lambda v: np.repeat(v, n[part])  # noqa: B023, E731
+        across = per(wide[part])
+        row, col = per(low[part, 1]) + k // across, per(low[part, 0]) + k % across
+        (ax, ay, az), (bx, by, bz), (cx, cy, cz) = ([per(t[part, i, j]) for j in range(3)] for i in range(3))
+        x, y = col + shift, row + shift
+        with np.errstate(divide="ignore", invalid="ignore"):  # degenerate triangles cover nothing
+            den = (by - cy) * (ax - cx) + (cx - bx) * (ay - cy)
+            w0 = ((by - cy) * (x - cx) + (cx - bx) * (y - cy)) / den
+            w1 = ((cy - ay) * (x - cx) + (ax - cx) * (y - cy)) / den
+            w2 = ((ay - by) * (x - bx) + (bx - ax) * (y - by)) / den
+        inside = (w0 >= 0) & (w0 <= 1) & (w1 >= 0) & (w1 <= 1) & (w2 >= 0) & (w2 <= 1)
+        out[row[inside], col[inside]] = (w0 * az + w1 * bz + w2 * cz)[inside]  # of equal places the last counts
+        start = stop
+
+
+def greedy_piece(method: str, z: np.ndarray, r0: int, c0: int, own: tuple[int, int, int, int], m: Meta, max_error: float) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices (column, row, height) and faces of the piece `own` of one mesh. Sides with a neighbour have the same vertices as the neighbour's."""
+    top, left, bottom, right = own
+    sides = {"top": top > 0, "bottom": bottom < m.height - 1, "left": left > 0, "right": right < m.width - 1}
+    p, f = METHODS[method](window(z, r0, c0, own), max_error, tuple(k for k, v in sides.items() if v))
+    return p + (left, top, 0.0), f
+
+
+def regular_piece(z: np.ndarray, r0: int, c0: int, own: tuple[int, int, int, int], m: Meta, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices (column, row, height; NaN: no data) and faces of the dense mesh over the squares that touch `own`, in the order of the whole mesh."""
+    lines = lambda first, last, n: np.unique(np.minimum(np.arange(max(first - 1, 0) // step * step, last + step, step), n - 1))
+    rows, cols = lines(own[0], own[2], m.height), lines(own[1], own[3], m.width)
+    box = (int(rows[0]), int(cols[0]), int(rows[-1]), int(cols[-1]))
+    x, y = np.meshgrid(cols, rows)
+    p = np.stack([x, y, window(z, r0, c0, box)[y - box[0], x - box[1]]], -1).reshape(-1, 3)
+    v = (np.arange(1, len(rows))[:, None] * len(cols) + np.arange(1, len(cols))[None]).ravel()
+    return p, np.stack([v, v - len(cols), v - len(cols) - 1, v, v - len(cols) - 1, v - 1], -1).reshape(-1, 3)
+
+
+def piece_box(piece_row: int, piece_col: int, m: Meta, size: int) -> tuple[int, int, int, int] | None:
+    """(first row, first column, last row, last column) of a piece's squares; the last lines are the next pieces' first. None: no square begins here."""
+    top, left = piece_row * size, piece_col * size
+    return None if top >= m.height - 1 or left >= m.width - 1 else (top, left, min(top + size, m.height - 1), min(left + size, m.width - 1))
+
+
+def counts_here(row: np.ndarray, col: np.ndarray, own: tuple[int, int, int, int], m: Meta) -> np.ndarray:
+    """Whether cells or vertices count in this piece: those of lower and right sides count in the next one, if there is one."""
+    top, left, bottom, right = own
+    below, beyond = (bottom if bottom < m.height - 1 else m.height), (right if right < m.width - 1 else m.width)
+    return (row >= top) & (row < below) & (col >= left) & (col < beyond)
+
+
+def with_corners(cells: DataFrame, m: Meta, size: int) -> DataFrame:
+    """cells with a column repair (null) and, for corners of pieces without data, rows whose repair is the height that all pieces around take there."""
+    spark = cells.sparkSession
+    plain = cells.select("row", "col", "z").withColumn("repair", F.lit(None).cast("double"))
+    if m.height - 1 <= size and m.width - 1 <= size:
+        return plain  # one piece repairs its own corners
+    line = lambda c, n: ((F.col(c) % size == 0) & (F.col(c) < n - 1)) | (F.col(c) == n - 1)
+    at = line("row", m.height) & line("col", m.width)
+    down, across = -(-(m.height - 1) // size) + 1, -(-(m.width - 1) // size) + 1
+    corners = spark.range(down * across).select(F.least(F.expr(f"id div {across}") * size, F.lit(m.height - 1)).cast("int").alias("row"), F.least((F.col("id") % across) * size, F.lit(m.width - 1)).cast("int").alias("col"))
+    there = cells.where(at).select("row", "col", "z", F.lit(True).alias("known"))
+    broken = corners.join(there, ["row", "col"], "left").where("z is null").persist()
+    if broken.isEmpty():
+        return plain
+    absent = broken.where("known is null").select("row", "col", "z")
+    fixed = ring_fill(cells.select("row", "col", "z").unionByName(absent), m, only=at)
+    return plain.unionByName(fixed.select("row", "col", F.lit(None).cast("double").alias("z"), F.coalesce("z", F.lit(0.0)).alias("repair")))
+
+
 def mesh_groups(cells: DataFrame, m: Meta, keys: tuple[str, ...], method: str = "terra", max_error: float | None = None, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """Mesh each group of cells on its own: vertices (keys, vid, x, y, z) and faces (keys, fid, v0, v1, v2) in world coordinates.
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mesalith.functions import geom, grid
 from mesalith.functions.grid import Meta
-from mesalith.operators import dense, kernels, mesh, raster
+from mesalith.operators import kernels, mesh, raster
 
 #: Columns of a statistics row.
 STATS = ("input_file string, method_name string, input_num_points int, input_width int, input_height int, param_max_error double, param_threshold double, param_step int, "
@@ -73,23 +76,11 @@ def rms_error(cells: DataFrame, drawn: DataFrame, m: Meta) -> DataFrame:
 # Methods and sweeps ---------------------------------------------------------------------------------------------------
 
 
-def _regular(cells, m, step):
-    return dense.dense_mesh(cells, m, int(step))
-
-
-def _kernel(name):
-    def run(cells, m, max_error):
-        v, f = kernels.mesh_groups(cells.withColumn("g", F.lit(0)), m, ("g",), name, max_error, keep=True)
-        return v.drop("g"), f.drop("g")
-
-    return run
-
-
-#: Method: its mesher, the statistics column of its parameter, and the default parameters (fixed values).
+#: Method: its mesher of a piece, the statistics column of its parameter, and the default parameters (fixed values).
 METHODS: dict[str, tuple[Callable, str, tuple]] = {
-    "regular": (_regular, "param_step", (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 18, 20)),
-    "terra": (_kernel("terra"), "param_max_error", (0.1, 0.25, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.5, 2.0, 2.5, 3.0, 5.0, 8.0, 10.0)),
-    "zemlya": (_kernel("zemlya"), "param_max_error", (0.1, 0.25, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.5, 2.0, 2.5, 3.0, 5.0, 8.0, 10.0)),
+    "regular": (kernels.regular_piece, "param_step", (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 18, 20)),
+    "terra": (functools.partial(kernels.greedy_piece, "terra"), "param_max_error", (0.1, 0.25, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.5, 2.0, 2.5, 3.0, 5.0, 8.0, 10.0)),
+    "zemlya": (functools.partial(kernels.greedy_piece, "zemlya"), "param_max_error", (0.1, 0.25, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.2, 1.5, 2.0, 2.5, 3.0, 5.0, 8.0, 10.0)),
 }
 
 
@@ -101,31 +92,91 @@ def plan_sweep(spark: SparkSession, inputs: Iterable[str], skip: Iterable[str] =
 
 
 def stats_row(cells: DataFrame, m: Meta, name: str, method: str, parameter: float, timed: bool = True) -> DataFrame:
-    """Mesh, draw and measure: one row of STATS. Parameters that the method doesn't have are null, and so is the time unless timed (which runs the meshing)."""
+    """Mesh, draw and measure: one row of STATS. Parameters that the method doesn't have are null, and so is the time unless timed."""
+    return sweep(cells, m, name, [(method, parameter)], timed)
+
+
+#: What each piece tells of each run: sizes, and count, mean, sum of squares about the mean and largest of its errors.
+PART = "run int, seconds double, points long, n long, mean double, squares double, worst double, vertices long, faces long"
+
+
+def _measure_piece(grids: np.ndarray, first: tuple[int, int], own: tuple, m: Meta, method: str, parameter: float, border: int = 2) -> tuple:
+    """(seconds, n, mean, squares, worst, vertices, faces) of a run over the piece `own` of the raster. grids, from the cell `first` on: heights, heights with repaired corners for greedy meshes, 1 where there is a cell."""
+    r0, c0 = first
     mesher, column, _ = METHODS[method]
-    began = time.time()
-    v, f = mesher(cells, m, parameter)
-    if timed:
-        f.count()
-    seconds = time.time() - began if timed else None
-    drawn = rasterise(mesh.compose(v, f), m)
-    err = measure_error(cells, drawn, m)
-    n_v, n_f = v.agg(F.count("*").alias("nv")), f.agg(F.count("*").alias("nf"))
-    n_p = cells.agg(F.count("z").cast("int").alias("np"))
-    one = err.crossJoin(F.broadcast(n_v)).crossJoin(F.broadcast(n_f)).crossJoin(F.broadcast(n_p))  # one row each
-    value = lambda c, kind: F.lit(parameter if c == column else None).cast(kind).alias(c)
-    return one.select(F.lit(name).alias("input_file"), F.lit(method).alias("method_name"), F.col("np").alias("input_num_points"), F.lit(m.width).alias("input_width"), F.lit(m.height).alias("input_height"),
-                      value("param_max_error", "double"), value("param_threshold", "double"), value("param_step", "int"), F.lit(seconds).cast("double").alias("meshing_time_seconds"),
-                      "mean_error", "std_dev_error", "max_error", F.col("nv").cast("int").alias("num_vertices"), F.col("nf").cast("int").alias("num_faces"))
-
-
-def sweep(cells: DataFrame, m: Meta, name: str, runs: Iterable[tuple[str, float]], timed: bool = True) -> DataFrame:
-    """A row of STATS for each (method, parameter); the runs are parameters of the call."""
-    out = None
-    for method, parameter in runs:
-        row = stats_row(cells, m, name, method, parameter, timed)
-        out = row if out is None else out.unionByName(row)
-    return out
+    regular = column == "param_step"
+    began = time.perf_counter()
+    p, f = mesher(grids[0 if regular else 1], r0, c0, own, m, parameter)
+    took = time.perf_counter() - began
+    top, left, bottom, right = own
+    here = kernels.counts_here(p[:, 1], p[:, 0], own, m)
+    if regular:  # a cell that the raster doesn't have is no vertex
+        x, y = p[here, 0].astype(int) - left, p[here, 1].astype(int) - top
+        here[here] = kernels.window(grids[2], r0, c0, own)[y, x] == 1
+    t = p[f]
+    faces = int(((t[:, :, 1].min(1) >= top) & (t[:, :, 1].min(1) < bottom) & (t[:, :, 0].min(1) >= left) & (t[:, :, 0].min(1) < right)).sum())
+    drawn = np.full((bottom - top + 1, right - left + 1), np.nan)
+    kernels.draw(drawn, t - (left, top, 0.0))
+    d = kernels.window(grids[0], r0, c0, own) - drawn
+    y, x = np.arange(top, bottom + 1)[:, None], np.arange(left, right + 1)[None]
+    inner = (y >= border) & (y <= m.height - 1 - border) & (x >= border) & (x <= m.width - 1 - border)
+    d = d[inner & kernels.counts_here(y, x, own, m) & ~np.isnan(d)]
+    if not len(d):
+        return took, 0, 0.0, 0.0, None, int(here.sum()), faces
+    return took, len(d), float(d.mean()), float(((d - d.mean()) ** 2).sum()), float(np.abs(d).max()), int(here.sum()), faces
+
+
+def sweep(cells: DataFrame, m: Meta, name: str, runs: Iterable[tuple[str, float]], timed: bool = True, size: int = kernels.PIECE) -> DataFrame:
+    """A row of STATS for each (method, parameter), in one plan; the runs are parameters of the call.
+
+    Each piece of size x size squares is meshed, drawn and measured in one task, so neither a mesh nor a drawn raster is
+    ever whole anywhere. Pieces have the lines between them in common, with the same vertices on both sides: together
+    they are one mesh. The meshing time is the sum over the pieces, with nothing else in it.
+    """
+    runs = [(method, float(m.cell_size if p is None else p)) for method, p in runs]
+    for method, p in runs:
+        if METHODS[method][1] == "param_step" and p < 1:
+            raise ValueError("the step is at least 1")
+        if METHODS[method][1] == "param_max_error" and p < 0:
+            raise ValueError("max_error is negative")
+    # dense meshes are made fast, so a piece's task makes them all; each run of a kernel is a task of its own
+    dense_runs = [k for k, (method, _) in enumerate(runs) if METHODS[method][1] == "param_step"]
+    groups = ([dense_runs] if dense_runs else []) + [[k] for k in range(len(runs)) if k not in dense_runs]
+    runs = [(method, int(p) if k in dense_runs else p) for k, (method, p) in enumerate(runs)]
+    halo = max([1, *(runs[k][1] for k in dense_runs)])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        g, piece_row, piece_col = (int(k) for k in key)
+        r, c, repair = (pdf[k].to_numpy() for k in ("row", "col", "repair"))
+        r0, c0, plain = int(r.min()), int(c.min()), np.isnan(repair)
+        grids = np.full((3, int(r.max()) - r0 + 1, int(c.max()) - c0 + 1), np.nan)  # heights, heights with repaired corners, 1 where there is a cell
+        grids[0, r[plain] - r0, c[plain] - c0] = pdf["z"].to_numpy(float)[plain]
+        grids[1] = grids[0]
+        grids[1, r[~plain] - r0, c[~plain] - c0] = repair[~plain]
+        grids[2, r[plain] - r0, c[plain] - c0] = 1
+        points = int((plain & ~np.isnan(pdf["z"].to_numpy(float)) & (r // size == piece_row) & (c // size == piece_col)).sum())
+        own = kernels.piece_box(piece_row, piece_col, m, size)
+        out = []
+        for k in groups[g]:
+            took, *told = (0.0, 0, 0.0, 0.0, None, 0, 0) if own is None else _measure_piece(grids, (r0, c0), own, m, *runs[k])
+            out.append((k, took, points, *told))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in PART.split(", ")]).astype({"worst": float})
+
+    source = kernels.with_corners(cells, m, size) if len(dense_runs) < len(runs) else cells.select("row", "col", "z", F.lit(None).cast("double").alias("repair"))
+    spread = raster.chips(source, m, size, halo).withColumn("g", F.explode(F.array(*(F.lit(g) for g in range(len(groups))))))
+    keys = ("g", "chip_row", "chip_col")
+    parts = kernels.dealt(spread, *keys).groupBy(*keys).applyInPandas(run, PART)
+    none = cells.sparkSession.range(len(runs)).select(F.col("id").cast("int").alias("run"), *(F.lit(None if c == "worst" else 0).cast(kind).alias(c) for c, kind in (x.split() for x in PART.split(", ")[1:])))  # for rasters without cells
+    w = Window.partitionBy("run")  # sees a row per piece
+    parts = parts.unionByName(none).withColumn("total", F.sum("n").over(w)).withColumn("centre", F.try_divide(F.sum(F.col("n") * F.col("mean")).over(w), F.col("total")))
+    gap = F.col("mean") - F.col("centre")
+    whole = parts.groupBy("run").agg(F.sum("points").alias("points"), F.sum("seconds").alias("seconds"), F.max("centre").alias("mean_error"),
+                                     F.sqrt(F.try_divide(F.sum(F.col("squares") + F.col("n") * gap * gap), F.max("total"))).alias("std_dev_error"), F.max(F.when(F.col("n") > 0, F.col("worst"))).alias("max_error"), F.sum("vertices").alias("vertices"), F.sum("faces").alias("faces"))
+    of = lambda values: F.get(F.array(*values), F.col("run"))
+    value = lambda c, kind: of([F.lit(p if METHODS[method][1] == c else None).cast(kind) for method, p in runs]).alias(c)
+    return whole.select(F.lit(name).alias("input_file"), of([F.lit(method) for method, _ in runs]).alias("method_name"), F.col("points").cast("int").alias("input_num_points"), F.lit(m.width).alias("input_width"), F.lit(m.height).alias("input_height"),
+                        value("param_max_error", "double"), value("param_threshold", "double"), value("param_step", "int"), (F.col("seconds") if timed else F.lit(None).cast("double")).alias("meshing_time_seconds"),
+                        "mean_error", "std_dev_error", "max_error", F.col("vertices").cast("int").alias("num_vertices"), F.col("faces").cast("int").alias("num_faces"))
 
 
 # Analytics of statistics ----------------------------------------------------------------------------------------------
