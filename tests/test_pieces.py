@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from mesalith.functions.grid import Meta
-from mesalith.operators import kernels, quality
+from mesalith.operators import dense, kernels, mesh, quality
 from tests.test_kernels import check
 
 
@@ -111,6 +111,27 @@ def test_sweep_without_data_at_corners(spark):
             assert row.max_error < 0.5 + 1e-9 and row.input_num_points == int((~np.isnan(z)).sum())
 
 
+@pytest.mark.parametrize("holes", [0.0, 0.2])
+def test_sweep_of_steps_equals_drawn_meshes(spark, holes):
+    """Counts and errors of dense meshes in pieces are those of the whole mesh drawn as a table, no data included."""
+    z = bumps(21, 30, holes)
+    cells, m = frame(spark, z)
+    got = {r.param_step: r for r in quality.sweep(cells, m, "a", [("regular", s) for s in (1, 3, 5, 20)], size=8).collect()}
+    for step, row in got.items():
+        v, f = dense.dense_mesh(cells, m, step)
+        want = quality.measure_error(cells, quality.rasterise(mesh.compose(v, f), m), m).first()
+        assert (row.num_vertices, row.num_faces) == (v.count(), f.count()) and row.meshing_time_seconds >= 0
+        for k in ("mean_error", "std_dev_error", "max_error"):
+            assert (row[k] is None) == (want[k] is None) and (want[k] is None or math.isclose(row[k], want[k], abs_tol=1e-9))
+
+
+def test_sweep_is_one_pass(spark):
+    """However many steps: the cells are dealt once."""
+    cells, m = frame(spark, bumps(9, 9, 0.0))
+    deals = lambda runs: quality.sweep(cells, m, "a", runs)._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas")
+    assert deals([("regular", 1)]) == deals([("regular", s) for s in (1, 2, 4, 5)]) == 1
+
+
 def test_sweep_of_odd_rasters(spark):
     for h, w in ((1, 5), (2, 2), (5, 1)):
         cells, m = frame(spark, np.ones((h, w)))
