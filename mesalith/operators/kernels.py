@@ -480,12 +480,15 @@ def window(z: np.ndarray, r0: int, c0: int, box: tuple[int, int, int, int]) -> n
     return out
 
 
-def draw(out: np.ndarray, t: np.ndarray, shift: float = 0.0) -> None:
-    """Put the heights of triangles (n x 3 corners x column, row, height) at the cells that they cover; a later triangle goes before. shift: where in a cell it is sampled."""
-    h, w = out.shape
+def draw(out: np.ndarray, t: np.ndarray, shift: float = 0.0, first: tuple[int, int] = (0, 0)) -> None:
+    """Put the heights of triangles (n x 3 corners x column, row, height) at the cells that they cover; a later triangle goes before.
+
+    shift: where in a cell it is sampled. first: row and column of out's upper left cell.
+    """
+    (h, w), (r0, c0) = out.shape, first
     t = t[~np.isnan(t).any((1, 2))]
-    low = np.maximum(np.ceil(t[:, :, :2].min(1) - shift), 0).astype(np.int64)
-    high = np.minimum(np.floor(t[:, :, :2].max(1) - shift), (w - 1, h - 1)).astype(np.int64)
+    low = np.maximum(np.ceil(t[:, :, :2].min(1) - shift), (c0, r0)).astype(np.int64)
+    high = np.minimum(np.floor(t[:, :, :2].max(1) - shift), (c0 + w - 1, r0 + h - 1)).astype(np.int64)
     size = np.maximum(high - low + 1, 0)
     n = size[:, 0] * size[:, 1]
     t, low, wide, n = t[n > 0], low[n > 0], size[n > 0, 0], n[n > 0]
@@ -507,7 +510,8 @@ def draw(out: np.ndarray, t: np.ndarray, shift: float = 0.0) -> None:
             w1 = ((cy - ay) * (x - cx) + (ax - cx) * (y - cy)) / den
             w2 = ((ay - by) * (x - bx) + (bx - ax) * (y - by)) / den
         inside = (w0 >= 0) & (w0 <= 1) & (w1 >= 0) & (w1 <= 1) & (w2 >= 0) & (w2 <= 1)
-        out[row[inside], col[inside]] = (w0 * az + w1 * bz + w2 * cz)[inside]  # of equal places the last counts
+        i = np.flatnonzero(inside)
+        out[row[i] - r0, col[i] - c0] = w0[i] * az[i] + w1[i] * bz[i] + w2[i] * cz[i]  # of equal places the last counts
         start = stop
 
 

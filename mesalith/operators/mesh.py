@@ -18,9 +18,11 @@ def _xyz():
 def compose(vertices: DataFrame, faces: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Triangles; faces with an index that no vertex has are left out. One join on the corners, put together by face."""
     corners = faces.select(*keys, "fid", F.posexplode(F.array("v0", "v1", "v2")).alias("k", "vid"))
-    placed = corners.join(vertices.select(*keys, "vid", _xyz().alias("p")), [*keys, "vid"])
-    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("p"))).alias(CORNERS[k])
-    return placed.groupBy(*keys, F.col("fid").alias("tid")).agg(pick(0), pick(1), pick(2), F.count("*").alias("n")).where("n = 3").drop("n")
+    placed = corners.join(vertices.select(*keys, "vid", "x", "y", "z"), [*keys, "vid"])
+    # plain numbers, as structs would be sorted to be aggregated
+    pick = lambda k, c: F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{CORNERS[k]}{c}")
+    flat = placed.groupBy(*keys, F.col("fid").alias("tid")).agg(*(pick(k, c) for k in range(3) for c in "xyz"), F.count("*").alias("n")).where("n = 3")
+    return flat.select(*keys, "tid", *(F.struct(*(F.col(f"{p}{c}").alias(c) for c in "xyz")).alias(p) for p in CORNERS))
 
 
 def decompose(triangles: DataFrame, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

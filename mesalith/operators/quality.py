@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,16 +32,42 @@ def to_pixels(triangles: DataFrame, m: Meta, half: bool = False) -> DataFrame:
 
 
 def rasterise(triangles: DataFrame, m: Meta, half: bool = False) -> DataFrame:
-    """(row, col, z) of the cells that a triangle covers; where several do, the one with the highest tid counts. half: sample cell centres of unsnapped triangles."""
+    """(row, col, z) of the cells that a triangle covers; where several do, the one with the highest tid counts. half: sample cell centres of unsnapped triangles.
+
+    Triangles go to the pieces of the raster that their boxes reach, not one row per cell: a piece is drawn in one task,
+    which takes its triangles batch by batch in the order of tid, so only the piece itself is in memory.
+    """
+    shift, size = 0.5 if half else 0.0, kernels.PIECE
     p = to_pixels(triangles, m, half)
     x0, y0, x1, y1 = geom.bbox(F.col("a"), F.col("b"), F.col("c"))
-    shift = 0.5 if half else 0.0
     first = lambda v: F.greatest(F.ceil(v - shift).cast("int"), F.lit(0))
     last = lambda v, n: F.least(F.floor(v - shift).cast("int"), F.lit(n - 1))
-    span = lambda a, b, n: F.when(first(a) <= last(b, n), F.sequence(first(a), last(b, n)))
-    cells = p.withColumn("row", F.explode(span(y0, y1, m.height))).withColumn("col", F.explode(span(x0, x1, m.width)))
-    z = geom.interpolate(F.col("a"), F.col("b"), F.col("c"), F.col("col") + shift, F.col("row") + shift)
-    return cells.select("row", "col", "tid", z.alias("z")).where("z is not null").groupBy("row", "col").agg(F.max_by("z", "tid").alias("z"))
+    span = lambda a, b, n: F.when(first(a) <= last(b, n), F.sequence(F.floor(first(a) / size).cast("int"), F.floor(last(b, n) / size).cast("int")))
+    flat = [f"{c}{d}" for c in mesh.CORNERS for d in "xyz"]
+    spread = p.withColumn("piece_row", F.explode(span(y0, y1, m.height))).withColumn("piece_col", F.explode(span(x0, x1, m.width))).select("piece_row", "piece_col", "tid", *(F.col(f"{c[0]}.{c[1]}").alias(c) for c in flat))
+    return kernels.dealt(spread, "piece_row", "piece_col").sortWithinPartitions("piece_row", "piece_col", "tid").mapInPandas(functools.partial(_draw_pieces, m=m, size=size, shift=shift), "row int, col int, z double")
+
+
+def _draw_pieces(batches: Iterator[pd.DataFrame], m: Meta, size: int, shift: float) -> Iterator[pd.DataFrame]:
+    """Cells of the pieces, whose triangles come one piece after another."""
+    at, out = None, None
+
+    def cells() -> pd.DataFrame:
+        row, col = np.nonzero(~np.isnan(out))
+        return pd.DataFrame({"row": row + at[0] * size, "col": col + at[1] * size, "z": out[row, col]})
+
+    for pdf in batches:
+        keys, t = pdf[["piece_row", "piece_col"]].to_numpy(), pdf.iloc[:, 3:].to_numpy(float).reshape(-1, 3, 3)
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else []
+        for i, j in zip(starts, [*starts[1:], len(keys)], strict=True):
+            piece = (int(keys[i, 0]), int(keys[i, 1]))
+            if piece != at:
+                if at is not None:
+                    yield cells()
+                at, out = piece, np.full((min(size, m.height - piece[0] * size), min(size, m.width - piece[1] * size)), np.nan)
+            kernels.draw(out, t[i:j], shift, (at[0] * size, at[1] * size))
+    if at is not None:
+        yield cells()
 
 
 def mesh_meta(box, width: int, height: int, original_width: int | None = None) -> Meta:
@@ -116,7 +142,7 @@ def _measure_piece(grids: np.ndarray, first: tuple[int, int], own: tuple, m: Met
     t = p[f]
     faces = int(((t[:, :, 1].min(1) >= top) & (t[:, :, 1].min(1) < bottom) & (t[:, :, 0].min(1) >= left) & (t[:, :, 0].min(1) < right)).sum())
     drawn = np.full((bottom - top + 1, right - left + 1), np.nan)
-    kernels.draw(drawn, t - (left, top, 0.0))
+    kernels.draw(drawn, t, first=(top, left))
     d = kernels.window(grids[0], r0, c0, own) - drawn
     y, x = np.arange(top, bottom + 1)[:, None], np.arange(left, right + 1)[None]
     inner = (y >= border) & (y <= m.height - 1 - border) & (x >= border) & (x <= m.width - 1 - border)
