@@ -84,3 +84,28 @@ def test_compose_is_not_sorted(spark):
     assert "SortAggregate" not in tri._jdf.queryExecution().executedPlan().toString()
     got = {r.tid: (r.a, r.b, r.c) for r in tri.collect()}
     assert set(got) == {0, 1} and tuple(got[0][1]) == (1.0, 0.0, None) and tuple(got[1][0]) == (0.0, 1.0, 0.0) and got[1][2].z != got[1][2].z
+
+
+@pytest.mark.parametrize("broken,valid", [(None, True), ("down", False), ("collapsed", False), ("index", False)])
+def test_bound_sees_bad_meshes(spark, monkeypatch, broken, valid):
+    """One composed mesh is drawn and checked, and a mesh with a bad face is still found out."""
+    from mesalith.plans import registry  # noqa: F401  registers the queries
+    from mesalith.plans import mesh_queries
+    from tests.conftest import SF
+
+    whole, composed = kernels.mesh_groups, []
+
+    def made(*args, **more):
+        v, f = whole(*args, **more)
+        at = quality.F.col("fid") == 0
+        swap = {"down": ("v1", "v0", "v2"), "collapsed": ("v0", "v0", "v2"), "index": (None, "v1", "v2")}.get(broken)
+        for k, c in enumerate(swap or ()):
+            f = f.withColumn(f"w{k}", quality.F.when(at, quality.F.col(c) if c else quality.F.lit(999_999)).otherwise(quality.F.col(f"v{k}")))
+        return v, f.select("chip_row", "chip_col", "fid", *(quality.F.col(f"w{k}").alias(f"v{k}") for k in range(3))) if swap else f
+
+    compose = mesh.compose
+    monkeypatch.setattr(kernels, "mesh_groups", made)
+    monkeypatch.setattr(mesh, "compose", lambda *args: composed.append(1) or compose(*args))
+    got = mesh_queries.bound(spark, SF, "zemlya", 40.0).first()
+    assert got.valid == valid and got.fewer and len(composed) == 1
+    assert broken or (got.within and got.whole)
